@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardloom.llm.base import cut, n_parts, prepare
@@ -29,27 +29,29 @@ from shardloom.llm.textkernel import mix, shingle_sets
 
 SKETCH_BITS = 18
 _PIECES = 16
+#: Requests for texts (of 32 bytes) that are sent to all executors at most.
+MOST_SENT = 500_000
 #: Rounds that pair each node with few others, before the complete one.
-TURNS = 3
+TURNS = 2
 _CLASS_BITS = np.uint64(6)
 
 
 SCANNED = ["id", "n", "digest", "outline", "piece", "counts"]
-#: A set's counts in 128 equal ranges of the hash, four bits each (15: that many or more).
+#: A set's counts in 128 equal ranges of the hash, modulo 16.
 _RANGES = 128
-#: Stands for an unknown outline; also that of sets with 15 or more everywhere, of which it says as little.
+#: Stands for an unknown outline. A set that happens to have it is compared without.
 _NO_OUTLINE = b"\xff" * (_RANGES // 2)
 
 
 def _outline(found: np.ndarray) -> bytes:
-    counts = np.minimum(np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=_RANGES), 15).astype(np.uint8)
+    counts = (np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=_RANGES) & 15).astype(np.uint8)
     return (counts[::2] | counts[1::2] << 4).tobytes()
 
 
 def _far(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     """The least number of tokens that are in one of two sets only, from their outlines; 0 if one is unknown."""
-    apart = np.abs((one & 15).astype(np.int8) - (many & 15).astype(np.int8)).sum(1, dtype=np.int64)
-    apart += np.abs((one >> 4).astype(np.int8) - (many >> 4).astype(np.int8)).sum(1, dtype=np.int64)
+    low, high = (one - many) & 15, ((one >> 4) - (many >> 4)) & 15
+    apart = (np.minimum(low, 16 - low) + np.minimum(high, 16 - high)).sum(-1, dtype=np.int64)
     return np.where((one == 255).all(-1) | (many == 255).all(-1), 0, apart)
 
 
@@ -105,14 +107,14 @@ def _rarity(scanned: DataFrame) -> np.ndarray:
 
 
 def _prefixes(n: int, num: int, den: int, rarity):
-    """(token, id, set size and position) of each document's prefix; equal sets of a task give one."""
+    """(token, id and set size) of each document's prefix; equal sets of a task give one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = rarity.value.astype(np.uint64) << (np.uint64(64) - _CLASS_BITS)
         shift = np.uint64(64 - SKETCH_BITS)
         seen: set[bytes] = set()
         for batch in batches:
-            tokens, ids, places = [], [], []
+            tokens, ids, sizes = [], [], []
             for doc, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True):
                 size = len(found)
                 if not size or doc is None:
@@ -126,18 +128,18 @@ def _prefixes(n: int, num: int, den: int, rarity):
                 token = np.sort(classes[found >> shift] | (found >> _CLASS_BITS))[:keep]
                 tokens.append(token)
                 ids.append(np.full(len(token), doc, np.int64))
-                places.append((size << 32) + np.arange(len(token), dtype=np.int64))
+                sizes.append(np.full(len(token), size, np.int64))
                 if len(tokens) == 2000:
-                    yield _posting(tokens, ids, places)
-                    tokens, ids, places = [], [], []
+                    yield _posting(tokens, ids, sizes)
+                    tokens, ids, sizes = [], [], []
             if tokens:
-                yield _posting(tokens, ids, places)
+                yield _posting(tokens, ids, sizes)
 
     return run
 
 
-def _posting(tokens: list, ids: list, places: list) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places))], ["token", "id", "place"])
+def _posting(tokens: list, ids: list, sizes: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["token", "id", "size"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -164,25 +166,42 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by token, those whose token has more than one."""
-    for token, doc, place in _runs(batches):
+    for token, doc, size in _runs(batches):
         if len(token) > 1:
             same = token[1:] == token[:-1]
             keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
             if keep.any():
-                yield pa.record_batch([pa.array(x[keep]) for x in (token, doc, place)], ["token", "id", "place"])
+                yield pa.record_batch([pa.array(x[keep]) for x in (token, doc, size)], ["token", "id", "size"])
 
 
-def _passes(size, place, outline, left, right, num: int, den: int) -> np.ndarray:
-    """Length, positional and suffix filter for rows ``left`` and ``right`` that share a token."""
-    size_a, size_b, place_a, place_b = size[left], size[right], place[left], place[right]
-    need = -(-num * (size_a + size_b) // (num + den))
-    most = 1 + np.minimum(size_a - place_a - 1, size_b - place_b - 1) + np.minimum(place_a, place_b)
-    ok = (den * np.minimum(size_a, size_b) >= num * np.maximum(size_a, size_b)) & (most >= need)
-    if ok.any():
+class _Rows:
+    """Rows sorted by token, set size and node, with the filters for two of them that share a token."""
+
+    def __init__(self, cols: list[np.ndarray], num: int, den: int) -> None:
+        self.token, self.node, self.root, self.size, self.rank, self.shared, self.outline = cols
+        self.num, self.den = num, den
+        tail = self.size * num + den - 1
+        self.tail = tail // den - 1  # tokens after the prefix
+
+    def near(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Length filter; ``right`` is not smaller."""
+        return self.den * self.size[left] >= self.num * self.size[right]
+
+    def passes(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Positional and suffix filter.
+
+        Common tokens are at most those before and after this one in both prefixes, as far as other
+        documents have them at all, and then the longer rest behind a prefix.
+        """
+        size = self.size[left] + self.size[right]
+        need = -(-self.num * size // (self.num + self.den))
+        before = np.minimum(self.rank[left], self.rank[right])
+        after = np.minimum(self.shared[left] - self.rank[left], self.shared[right] - self.rank[right])
+        ok = before + after + np.maximum(self.tail[left], self.tail[right]) >= need
         at = np.flatnonzero(ok)
-        near = _far(outline[right] if np.ndim(right) == 0 else outline[right[at]], outline[left[at]]) <= ((size_a + size_b) - 2 * need)[at]
-        ok[at[~near]] = False
-    return ok
+        if len(at):
+            ok[at[_far(self.outline[left[at]], self.outline[right[at]]) > (size - 2 * need)[at]]] = False
+        return ok
 
 
 class _Pairs:
@@ -217,32 +236,38 @@ def _meet(num: int, den: int, turn: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Pairs()
-        for token, size, node, place, root, outline in _runs(batches):
+        for cols in _runs(batches):
+            x = _Rows(cols, num, den)
+            head = np.flatnonzero(np.concatenate(([True], x.token[1:] != x.token[:-1])))
+            length = np.diff(np.append(head, len(x.token)))
             if turn == 0:
-                head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-                first = np.repeat(head, np.diff(np.append(head, len(token))))
-                here = np.arange(len(token))
-                left = np.concatenate((first, np.maximum(here - 1, first)))
-                right = np.concatenate((here, here))
-                ok = (node[left] != node[right]) & _passes(size, place, outline, left, right, num, den)
-                found.add(node[left[ok]], node[right[ok]])
+                first, here = np.repeat(head, length), np.arange(len(x.token))
+                left, right = np.concatenate((first, np.maximum(here - 1, first))), np.concatenate((here, here))
+                ok = np.flatnonzero((left < right) & x.near(left, right))
+                ok = ok[x.passes(left[ok], right[ok])]
+                found.add(x.node[left[ok]], x.node[right[ok]])
                 yield from found.out(1 << 20)
                 continue
-            bounds = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if e - s < 2 or (root[s:e] == root[s]).all():
-                    continue
-                from_ = s + np.searchsorted(size[s:e], -(-num * size[s:e] // den))
-                order = mix(node[s:e].view(np.uint64) + np.uint64(turn or 0))
-                for i in range(s + 1, e):
-                    j = int(from_[i - s])
-                    ok = j + np.flatnonzero(root[j:i] != root[i])
-                    if len(ok):
-                        ok = ok[_passes(size, place, outline, ok, i, num, den)]
-                    if len(ok):
-                        ok = ok if turn is None else ok[[np.argmin(order[ok - s])]]
-                        found.add(node[ok], np.full(len(ok), node[i]))
-                yield from found.out(1 << 20)
+            mixed = np.minimum.reduceat(x.root, head) != np.maximum.reduceat(x.root, head)
+            end = np.repeat(head + length, length)
+            left = np.flatnonzero(np.repeat(mixed, length))
+            order, best, pick = mix(x.node.view(np.uint64) + np.uint64(turn or 0)), np.full(len(x.token), ~np.uint64(0)), np.full(len(x.token), -1)
+            step = 0
+            while len(left):  # each row with the one ``step`` behind it; sizes grow, so who is too small stays so
+                step += 1
+                left = left[left + step < end[left]]
+                left = left[x.near(left, left + step)]
+                ok = left[x.root[left] != x.root[left + step]]
+                ok = ok[x.passes(ok, ok + step)]
+                if turn is None:
+                    found.add(x.node[ok], x.node[ok + step])
+                    yield from found.out(1 << 20)
+                else:
+                    ok = ok[order[ok] < best[ok + step]]
+                    best[ok + step], pick[ok + step] = order[ok], ok
+            if turn is not None:
+                ok = np.flatnonzero(pick >= 0)
+                found.add(x.node[pick[ok]], x.node[ok])
         yield from found.out(0)
 
     return run
@@ -281,13 +306,12 @@ def _verify(n: int, num: int, den: int):
 
 def _links(spark: SparkSession, texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that are similar enough. A text goes once to each pair, and once to each block of pairs."""
-    parts = n_parts(spark)
     pairs = pairs.withColumn("salt", F.pmod(F.hash("b"), F.lit(16)))
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = texts.join(needed.hint("shuffle_hash"), "id", "left_semi")
     asked = pairs.select("a", "salt", "b", F.col("b").alias("id")).union(pairs.select("a", "salt", F.lit(None).cast("long"), F.col("a")).distinct())
-    rows = asked.hint("shuffle_hash").join(texts, "id").select("a", "salt", "b", "text")
-    rows = rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    # Few enough requests go to the texts; else both meet by id.
+    how = "broadcast" if pairs.count() <= MOST_SENT // 2 else "shuffle_hash"
+    rows = texts.join(asked.hint(how), "id").select("a", "salt", "b", "text")
+    rows = rows.repartition(n_parts(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return rows.mapInArrow(_verify(n, num, den), "u long, v long")
 
 
@@ -315,14 +339,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rows.join(sets.filter("copies > 1").select("digest", "node"), "digest").filter("id <> node").select("id", "node")
     equal = named.select(F.col("id").alias("u"), F.col("node").alias("v"))
 
-    found = texts.mapInArrow(_prefixes(n, num, den, rarity), "token long, id long, place long")
-    found = cut(found.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_shared, "token long, id long, place long"))
+    found = texts.mapInArrow(_prefixes(n, num, den, rarity), "token long, id long, size long")
+    found = cut(found.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_shared, "token long, id long, size long"))
     found = found.join(named.groupBy("id").agg(F.min("node").alias("node")), "id", "left")
-    found = found.select("token", F.shiftright("place", 32).alias("size"), F.coalesce("node", "id").alias("node"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("place")).distinct()
+    found = found.select("token", "size", F.coalesce("node", "id").alias("node")).distinct()
+    # Where a token stands among those of the document's prefix that others have too, and how many these are.
+    ranked = Window.partitionBy("node", "size")
+    found = found.withColumn("shared", F.count("*").over(ranked)).withColumn("rank", F.row_number().over(ranked.orderBy(F.conv(F.hex("token"), 16, 10).cast("decimal(20,0)"))) - 1)
     found = cut(found.join(outlines, "node", "left").withColumn("outline", F.coalesce("outline", F.lit(_NO_OUTLINE))))
 
     def candidates(classes: DataFrame, turn: int | None) -> DataFrame:
-        ordered = classes.select("token", "size", "node", "place", "root", "outline").repartition(parts, "token").sortWithinPartitions("token", "size", "node")
+        ordered = classes.select("token", "node", "root", "size", F.col("rank").cast("long"), "shared", "outline").repartition(parts, "token").sortWithinPartitions("token", "size", "node")
         return ordered.mapInArrow(_meet(num, den, turn), "a long, b long").distinct()
 
     classes, tried, links = found.withColumn("root", F.col("node")), None, equal

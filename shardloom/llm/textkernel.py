@@ -114,3 +114,41 @@ def shingle_sets(texts: pa.Array, n: int = 5, lower: bool = True) -> Iterator[np
                 yield grams(hashes[a:b], b - a)
             else:
                 yield hashes[:0]
+
+
+_apart = np.ones(256, bool)
+_apart[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def stems(data: np.ndarray, bounds: np.ndarray, lengths: tuple[int, ...] = (4, 5, 6, 7)) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that follow one another, and of their first 4, 5, 6 and 7 bytes.
+
+    Words are runs of ASCII letters and digits and of anything beyond ASCII; A-Z count as a-z. Second:
+    the text of each hash. A stem is no word: "cat" as a word and as a stem have different hashes.
+    """
+    base, end = int(bounds[0]), int(bounds[-1])
+    part, inner = data[base:end], bounds - base
+    blank = _apart[part]
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    heads = inner[:-1][inner[:-1] < len(part)]
+    begins[heads] = ~blank[heads]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    breaks = np.zeros(len(part) + 1, bool)
+    breaks[:-1] = blank
+    breaks[inner] = True
+    stops = np.flatnonzero(breaks)
+    stops = stops[np.searchsorted(stops, starts, "right")]
+    power, inverse = _power(len(part))
+    sums = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(_lower[part] * power[: len(part)], out=sums[1:])
+    doc = np.searchsorted(inner, starts, "right") - 1
+    found, of = [mix((sums[stops] - sums[starts]) * inverse[starts])], [doc]
+    for n in lengths:
+        ok = stops - starts >= n
+        at = starts[ok]
+        found.append(mix((sums[at + n] - sums[at]) * inverse[at] + np.uint64(n)))
+        of.append(doc[ok])
+    return np.concatenate(found), np.concatenate(of)
