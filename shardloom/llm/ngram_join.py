@@ -107,14 +107,18 @@ def _rarity(scanned: DataFrame) -> np.ndarray:
 
 
 def _prefixes(n: int, num: int, den: int, rarity):
-    """(token, id and set size) of each document's prefix; equal sets of a task give one."""
+    """(token, id and set size) of each document's prefix; equal sets of a task give one.
+
+    One more row per document has set size -1 and, for a token, the high halves of the prefix's last token
+    and of the one that nine tenths of the prefix don't exceed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = rarity.value.astype(np.uint64) << (np.uint64(64) - _CLASS_BITS)
         shift = np.uint64(64 - SKETCH_BITS)
         seen: set[bytes] = set()
         for batch in batches:
-            tokens, ids, sizes = [], [], []
+            tokens, ids, sizes, ends = [], [], [], []
             for doc, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True):
                 size = len(found)
                 if not size or doc is None:
@@ -129,16 +133,20 @@ def _prefixes(n: int, num: int, den: int, rarity):
                 tokens.append(token)
                 ids.append(np.full(len(token), doc, np.int64))
                 sizes.append(np.full(len(token), size, np.int64))
+                ends.append((int(token[-1]) >> 32 << 32 | int(token[9 * (len(token) - 1) // 10]) >> 32, doc))
                 if len(tokens) == 2000:
-                    yield _posting(tokens, ids, sizes)
-                    tokens, ids, sizes = [], [], []
+                    yield _posting(tokens, ids, sizes, ends)
+                    tokens, ids, sizes, ends = [], [], [], []
             if tokens:
-                yield _posting(tokens, ids, sizes)
+                yield _posting(tokens, ids, sizes, ends)
 
     return run
 
 
-def _posting(tokens: list, ids: list, sizes: list) -> pa.RecordBatch:
+def _posting(tokens: list, ids: list, sizes: list, ends: list) -> pa.RecordBatch:
+    tokens = [*tokens, np.array([x for x, _ in ends], np.uint64)]
+    ids = [*ids, np.array([x for _, x in ends], np.int64)]
+    sizes = [*sizes, np.full(len(ends), -1, np.int64)]
     return pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["token", "id", "size"])
 
 
@@ -165,39 +173,59 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose token has more than one."""
+    """Of rows sorted by token, those whose token has more than one, with the token's smallest id; and those of ends."""
     for token, doc, size in _runs(batches):
+        own = size >= 0
+        if not own.all():
+            rest = ~own
+            yield pa.record_batch([pa.array(token[rest]), pa.array(doc[rest]), pa.array(size[rest]), pa.array(doc[rest])], ["token", "id", "size", "head"])
+            token, doc, size = token[own], doc[own], size[own]
         if len(token) > 1:
             same = token[1:] == token[:-1]
             keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
             if keep.any():
-                yield pa.record_batch([pa.array(x[keep]) for x in (token, doc, size)], ["token", "id", "size"])
+                token, doc, size = token[keep], doc[keep], size[keep]
+                first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+                head = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(token))))
+                yield pa.record_batch([pa.array(x) for x in (token, doc, size, head)], ["token", "id", "size", "head"])
 
 
 class _Rows:
     """Rows sorted by token, set size and node, with the filters for two of them that share a token."""
 
     def __init__(self, cols: list[np.ndarray], num: int, den: int) -> None:
-        self.token, self.node, self.root, self.size, self.rank, self.shared, self.outline = cols
+        self.token, self.node, self.root, self.size, self.rank, self.shared, self.ends, self.outline = cols
         self.num, self.den = num, den
-        tail = self.size * num + den - 1
-        self.tail = tail // den - 1  # tokens after the prefix
+        prefix = self.size - -(-num * self.size // den) + 1
+        self.tail = self.size - prefix  # tokens after the prefix
+        self.most = self.size - 9 * (prefix - 1) // 10 - 1  # tokens after nine tenths of it
+        ends = self.ends.view(np.uint64)
+        self.last, self.ninth = ends >> np.uint64(32), ends & np.uint64(0xFFFFFFFF)
+        self.known = self.ends != 0
 
     def near(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Length filter; ``right`` is not smaller."""
         return self.den * self.size[left] >= self.num * self.size[right]
 
+    def _rest(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Tokens that may be common behind the prefix of ``one``, should it end first; 0 if it can't."""
+        rest = self.tail[one]
+        known = self.known[one] & self.known[other]
+        rest = np.where(known & (self.ninth[other] < self.last[one]), np.minimum(rest, self.most[other]), rest)
+        return np.where(known & (self.last[one] > self.last[other]), 0, rest)
+
     def passes(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Positional and suffix filter.
 
         Common tokens are at most those before and after this one in both prefixes, as far as other
-        documents have them at all, and then the longer rest behind a prefix.
+        documents have them at all, and what one has behind the prefix that ends first; what the other
+        has there is no more than it has behind nine tenths of its own prefix, if these end before.
         """
         size = self.size[left] + self.size[right]
         need = -(-self.num * size // (self.num + self.den))
         before = np.minimum(self.rank[left], self.rank[right])
         after = np.minimum(self.shared[left] - self.rank[left], self.shared[right] - self.rank[right])
-        ok = before + after + np.maximum(self.tail[left], self.tail[right]) >= need
+        ok = before + after + np.maximum(self._rest(left, right), self._rest(right, left)) >= need
         at = np.flatnonzero(ok)
         if len(at):
             ok[at[_far(self.outline[left[at]], self.outline[right[at]]) > (size - 2 * need)[at]]] = False
@@ -340,16 +368,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal = named.select(F.col("id").alias("u"), F.col("node").alias("v"))
 
     found = texts.mapInArrow(_prefixes(n, num, den, rarity), "token long, id long, size long")
-    found = cut(found.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_shared, "token long, id long, size long"))
+    found = cut(found.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_shared, "token long, id long, size long, head long"))
     found = found.join(named.groupBy("id").agg(F.min("node").alias("node")), "id", "left")
-    found = found.select("token", "size", F.coalesce("node", "id").alias("node")).distinct()
+    found = found.select("token", "size", "head", F.coalesce("node", "id").alias("node"))
+    ends = found.filter("size < 0").groupBy("node").agg(F.when(F.min("token") == F.max("token"), F.min("token")).alias("ends"))
+    found = found.filter("size >= 0").distinct()
     # Where a token stands among those of the document's prefix that others have too, and how many these are.
     ranked = Window.partitionBy("node", "size")
     found = found.withColumn("shared", F.count("*").over(ranked)).withColumn("rank", F.row_number().over(ranked.orderBy(F.conv(F.hex("token"), 16, 10).cast("decimal(20,0)"))) - 1)
-    found = cut(found.join(outlines, "node", "left").withColumn("outline", F.coalesce("outline", F.lit(_NO_OUTLINE))))
+    found = cut(found.join(outlines, "node", "left").join(ends, "node", "left").withColumns({"outline": F.coalesce("outline", F.lit(_NO_OUTLINE)), "ends": F.coalesce("ends", F.lit(0))}))
 
     def candidates(classes: DataFrame, turn: int | None) -> DataFrame:
-        ordered = classes.select("token", "node", "root", "size", F.col("rank").cast("long"), "shared", "outline").repartition(parts, "token").sortWithinPartitions("token", "size", "node")
+        # Tokens of one group of documents meet in few tasks, as what a task finds twice it gives out once.
+        ordered = classes.repartition(parts, "head", F.pmod("token", F.lit(4))).sortWithinPartitions("token", "size", "node")
+        ordered = ordered.select("token", "node", "root", "size", F.col("rank").cast("long"), "shared", "ends", "outline")
         return ordered.mapInArrow(_meet(num, den, turn), "a long, b long").distinct()
 
     classes, tried, links = found.withColumn("root", F.col("node")), None, equal
