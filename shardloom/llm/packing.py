@@ -69,7 +69,7 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int
                 usable = left >= smallest and rest >= left
                 # cost: words of padding a word of content
                 waste = left % max(1, smallest) / 2 if usable else max(0, left - rest) if left >= smallest else left
-                costs.append((waste / (length - waste), length))
+                costs.append((waste / max(1, length - waste), length))
             room = min(costs)[1]
             bin_ = len(content)
             content.append(0)
