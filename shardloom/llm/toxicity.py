@@ -17,15 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.base import held_out, prepare
+from shardloom.llm.base import cut, held_out, prepare
 from shardloom.llm.textkernel import blocks, bytes_of, stems
 
 #: Labelled documents that the model is fitted on at most: those of the lowest MD5 of their id.
 SAMPLE = 20_000
 #: Words and stems that the classifier has a weight for at most.
 FEATURES = 4096
+#: A feature that fewer documents have isn't learned.
+LEAST = 4
+#: Toxic documents of the sample that features are taken from at most.
+TOXIC_SAMPLE = 3000
 #: How often a human label is taken to be right.
 TRUST = 0.9999
+#: What all other voters together can say, in nats.
+MOST_NATS = 6.0
 
 NOUNS = "idiot idiots moron morons fool loser losers scum clown trash garbage bastard imbecile jerk freak vermin trottel schwachkopf abschaum versager dummkopf imbécile crétin ordure abruti basura escoria imbécil payaso perdedor"
 ADJECTIVES = "stupid worthless pathetic disgusting dumb ugly filthy useless vile repulsive dämlich wertlos erbärmlich widerlich stupide minable dégoûtant pathétique estúpido inútil patético asqueroso"
@@ -59,24 +65,42 @@ def _lexicons(found=(frozenset(NOUNS.split()), frozenset(ADJECTIVES.split()))):
     return found
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, label, votes, distinct features) of each row."""
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Distinct words and stems of each text in the last column, batch by batch."""
     for batch in batches:
-        data, bounds = bytes_of(batch.column(2))
+        data, bounds = bytes_of(batch.column(batch.num_columns - 1))
         found = []
         for first, last in blocks(bounds):
             hashes, of = stems(data, bounds[first : last + 1])
             order = np.argsort(of, kind="stable")
-            parts = np.split(hashes[order], np.searchsorted(of[order], np.arange(1, last - first)))
-            found += [np.unique(x).tobytes() for x in parts]
-        votes = [bytes(x + 1 for x in pattern_votes(text or "")) for text in batch.column(2).to_pylist()]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(votes, pa.binary()), pa.array(found, pa.binary())], ["id", "label", "votes", "features"])
+            found += [np.unique(x) for x in np.split(hashes[order], np.searchsorted(of[order], np.arange(1, last - first)))]
+        yield found
 
 
-def telling(features: list[np.ndarray], weight: np.ndarray, least: int = 4, most: int = FEATURES) -> np.ndarray:
-    """Features that speak for label 1, by the weight (0 to 1) that documents have of it; sorted hashes."""
-    if not features:
-        return np.zeros(0, np.uint64)
+def _all_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for found in _features(batches):
+        yield pa.record_batch([pa.array([x.tobytes() for x in found], pa.binary())], ["features"])
+
+
+def _sampled(candidates: np.ndarray):
+    """(id, label, votes, places of the text's features in ``candidates``) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = [bytes(x + 1 for x in pattern_votes(text or "")) for text in batch.column(2).to_pylist()]
+            places = []
+            for found in next(_features(iter([batch]))):
+                at = np.searchsorted(candidates, found).clip(0, len(candidates) - 1)
+                places.append(at[candidates[at] == found].astype(np.int32).tobytes())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(votes, pa.binary()), pa.array(places, pa.binary())], ["id", "label", "votes", "features"])
+
+    return run
+
+
+def telling(features: list[np.ndarray], weight: np.ndarray, least: int = LEAST, most: int = FEATURES) -> np.ndarray:
+    """Features that speak for label 1, by the weight (0 to 1) that documents have of it; sorted."""
+    if not sum(map(len, features)):
+        return np.zeros(0, np.int64)
     flat = np.concatenate(features)
     rows = np.repeat(weight, [len(x) for x in features])
     known, at = np.unique(flat, return_inverse=True)
@@ -119,16 +143,21 @@ def label_model(votes: np.ndarray, trusted: int | None = None, rounds: int = 30)
             if trusted is not None:
                 say[trusted] = 1
         logs = np.log(table[1]) - np.log(table[0])
-        score = np.log(prior / (1 - prior)) + (logs[votes + 1, np.arange(m)] * say).sum(1)
+        each = logs[votes + 1, np.arange(m)] * say
+        if trusted is None:
+            score = each.sum(1)
+        else:  # the rest, however many they are, can't outvote it
+            score = (each.sum(1) - each[:, trusted]).clip(-MOST_NATS, MOST_NATS) + each[:, trusted]
+        score = score + np.log(prior / (1 - prior))
         p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
     right = ((votes == 1) * p[:, None] + (votes == -1) * (1 - p)[:, None]).sum(0) / np.maximum(1, (votes != 0).sum(0))
     return p, right, corr
 
 
 def train_linear(features: list[np.ndarray], target: np.ndarray, known: np.ndarray, prior: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights of ``known`` and a bias, by logistic regression on soft labels, drawn towards ``prior``."""
+    """Weights of the features ``known`` (sorted) and a bias, by logistic regression on soft labels, drawn towards ``prior``."""
     weight, bias = prior.copy(), -3.0
-    if not len(features):
+    if not features:
         return weight, bias
     place = [np.searchsorted(known, x[np.isin(x, known, assume_unique=True)]) for x in features]
     rows, cols = np.repeat(np.arange(len(place)), [len(x) for x in place]), np.concatenate(place).astype(np.int64)
@@ -152,14 +181,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     and ids are left out; an id with several labels counts as toxic if one says so. Without labelled
     rows, the built-in word lists are the classifier.
     """
+    prepare(docs.sparkSession)
     words = [hash_of(w) for w in (NOUNS + " " + ADJECTIVES).split()]
     chosen = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null")
     chosen = chosen.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     chosen = chosen.orderBy(F.md5(F.col("id").cast("string")), "id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(_sampled, "id long, label int, votes binary, features binary")
+    sampled = cut(texts.join(F.broadcast(chosen), "id").select("id", "label", "text"))
+    # Only what some toxic documents have can speak for toxicity; the rest stays on the executors.
+    toxic = sampled.filter("label > 0").orderBy(F.md5(F.col("id").cast("string")), "id").limit(TOXIC_SAMPLE).select("text").mapInArrow(_all_features, "features binary")
+    seen = [np.frombuffer(r.features, np.uint64) for r in toxic.toLocalIterator()]
+    flat, times = np.unique(np.concatenate([*seen, np.zeros(0, np.uint64)]), return_counts=True)
+    listed = np.unique(np.array(words, np.uint64))
+    candidates = np.union1d(flat[times >= LEAST], listed)
+    del seen, flat, times
+    rows = sampled.mapInArrow(_sampled(candidates), "id long, label int, votes binary, features binary")
     rows = sorted(rows.collect(), key=lambda r: (r.id, r.features))[:sample]
-    features = [np.frombuffer(r.features, np.uint64) for r in rows]
+    features = [np.frombuffer(r.features, np.int32) for r in rows]
     human = np.array([1 if r.label > 0 else -1 for r in rows], np.int64)
     report: dict = {"voters": [*_VOTERS, *(f"stems {k}" for k in range(_FOLDS)), "human"]}
     target = np.zeros(0)
@@ -171,10 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             has = _has(features, telling([features[i] for i in part], (human[part] > 0).astype(float), most=512))
             induced.append(np.where(has, 1, -1))
         target, report["accuracy"], report["correlation"] = label_model(np.column_stack([votes, *induced, human]), trusted=-1)
-    known = np.unique(np.concatenate([telling(features, target), np.array(words, np.uint64)]))
-    prior = np.where(np.isin(known, np.array(words, np.uint64)), 4.0, 0.0)
+    known = np.union1d(telling(features, target), np.searchsorted(candidates, listed))
+    prior = np.where(np.isin(candidates[known], listed), 4.0, 0.0)
     weight, bias = train_linear(features, target, known, prior)
-    return report | {"hashes": known, "weights": weight, "bias": bias, "posterior": target, "n": len(rows)}
+    return report | {"hashes": candidates[known], "weights": weight, "bias": bias, "posterior": target, "n": len(rows)}
 
 
 def _scorer(hashes: np.ndarray, weights: np.ndarray, bias: float):
