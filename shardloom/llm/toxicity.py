@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ SAMPLE = 20_000
 FEATURES = 4096
 #: A feature that fewer documents have isn't learned.
 LEAST = 4
-#: Toxic documents of the sample that features are taken from at most.
-TOXIC_SAMPLE = 3000
+#: Documents of either label that features are taken from at most.
+PART = 3000
 #: How often a human label is taken to be right.
 TRUST = 0.9999
 #: What all other voters together can say, in nats.
@@ -174,6 +175,39 @@ def train_linear(features: list[np.ndarray], target: np.ndarray, known: np.ndarr
     return weight, float(bias)
 
 
+def _candidates(sampled: DataFrame) -> np.ndarray:
+    """Features that toxic documents have more often, of ``PART`` documents of either label at most; sorted hashes.
+
+    Texts' features come to the driver one after another; all of the rest that is judged by the whole sample.
+    """
+
+    def part(which: str) -> Iterator[np.ndarray]:
+        some = sampled.filter(which).orderBy(F.md5(F.col("id").cast("string")), "id").limit(PART).select("text")
+        for row in some.mapInArrow(_all_features, "features binary").toLocalIterator():
+            yield np.frombuffer(row.features, np.uint64)
+
+    known, times, n, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, []
+    for found in chain(part("label > 0"), [None]):
+        if found is not None:
+            n += 1
+            waiting.append(found)
+        if waiting and (found is None or len(waiting) == 500):
+            new, count = np.unique(np.concatenate(waiting), return_counts=True)
+            both = np.union1d(known, new)
+            sums = np.zeros(len(both), np.int64)
+            sums[np.searchsorted(both, known)] += times
+            sums[np.searchsorted(both, new)] += count
+            known, times, waiting = both, sums, []
+    known, times = known[times >= LEAST], times[times >= LEAST]
+    clean, m = np.zeros(len(known), np.int64), 0
+    for found in part("label <= 0") if len(known) else ():
+        m += 1
+        at = np.searchsorted(known, found).clip(0, len(known) - 1)
+        clean[at[known[at] == found]] += 1
+    odds = np.log((times + 0.5) / (n + 1)) - np.log((clean + 0.5) / (m + 1))
+    return known[odds > 1.0]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> dict:
     """The classifier (hashes, weights, bias) and what the label model found (accuracies, correlations).
 
@@ -188,13 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = chosen.orderBy(F.md5(F.col("id").cast("string")), "id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sampled = cut(texts.join(F.broadcast(chosen), "id").select("id", "label", "text"))
-    # Only what some toxic documents have can speak for toxicity; the rest stays on the executors.
-    toxic = sampled.filter("label > 0").orderBy(F.md5(F.col("id").cast("string")), "id").limit(TOXIC_SAMPLE).select("text").mapInArrow(_all_features, "features binary")
-    seen = [np.frombuffer(r.features, np.uint64) for r in toxic.toLocalIterator()]
-    flat, times = np.unique(np.concatenate([*seen, np.zeros(0, np.uint64)]), return_counts=True)
     listed = np.unique(np.array(words, np.uint64))
-    candidates = np.union1d(flat[times >= LEAST], listed)
-    del seen, flat, times
+    candidates = np.union1d(_candidates(sampled), listed)
     rows = sampled.mapInArrow(_sampled(candidates), "id long, label int, votes binary, features binary")
     rows = sorted(rows.collect(), key=lambda r: (r.id, r.features))[:sample]
     features = [np.frombuffer(r.features, np.int32) for r in rows]
