@@ -5,10 +5,12 @@ A field's decoder follows from its name when the plan is made. Fields without on
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,7 @@ def _gz(name: str, c: Column) -> Any:
         return None
 
     @F.pandas_udf("binary")
-    def gunzip(x: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
-        import gzip
-
+    def gunzip(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None else gzip.decompress(v))
 
     return name[:-3], gunzip(c)
