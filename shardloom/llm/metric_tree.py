@@ -79,11 +79,12 @@ class Tree:
         n = len(queries)
         exact = queries.astype(self.exact.dtype)
         squares = (queries.astype(np.float64) ** 2).sum(1)
-        slack = 1e-9 * (self.top + squares) ** 0.5 + 1e-6
+        slack = 1e-7 * (self.top + squares) ** 0.5 + 1e-6  # what rounding may do to a small distance of large vectors
         to_page = np.sqrt(np.maximum(squares[:, None] + self.top - 2 * queries.astype(np.float64) @ self.routing.T, 0))
         least = np.maximum(to_page - self.radius, 0)
         order = least.argsort(1, kind="stable")
-        scores, ids = np.full((n, k), -np.inf if self.exact.dtype.kind == "f" else np.iinfo(np.int64).min, self.exact.dtype), np.full((n, k), -1, np.int64)
+        worst = self.exact.dtype.type(-np.inf if self.exact.dtype.kind == "f" else -np.iinfo(np.int64).max)
+        scores, ids = np.full((n, k), worst, self.exact.dtype), np.full((n, k), -1, np.int64)
         reach = np.full(n, np.inf)
         active = np.arange(n)
         for turn in range(order.shape[1]):
@@ -105,7 +106,6 @@ class Tree:
                 who = np.broadcast_to(self.ids[rows], got.shape)
                 got = np.concatenate([scores[q], got], 1)
                 who = np.concatenate([ids[q], who], 1)
-                worst = scores.dtype.type(-np.inf) if scores.dtype.kind == "f" else np.iinfo(np.int64).min
                 got = np.where(who == own[q][:, None], worst, got)
                 who = np.where(who == own[q][:, None], -1, who)
                 best = np.lexsort((np.where(who < 0, np.iinfo(np.int64).max, who), -got), axis=1)[:, :k]

@@ -120,13 +120,17 @@ def _has(features: list[np.ndarray], known: np.ndarray) -> np.ndarray:
 def label_model(votes: np.ndarray, trusted: int | None = None, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of label 1 for each row of votes (-1, 0, 1), each voter's accuracy, and their correlations.
 
-    EM for P(vote | label), starting from the majority. Voters that agree beyond what the label explains
-    share their say: a voter counts with 1 / (1 + its positive residual correlations with others). The
+    EM for P(vote | label), starting from the majority, in which near copies of a voter count as one.
+    Voters that agree beyond what the label explains share their say: a voter counts with 1 / (1 + its positive residual correlations with others). The
     ``trusted`` voter's accuracy is held at ``TRUST``, and its say at 1.
     """
     n, m = votes.shape
-    p = np.clip(0.5 + 0.5 * votes.sum(1) / np.maximum(1, np.abs(votes).sum(1)), 0.02, 0.98)
-    say, corr = np.ones(m), np.eye(m)
+    spread = votes - votes.mean(0)
+    scale = np.sqrt((spread**2).mean(0)) + 1e-9
+    alike = np.maximum((spread.T @ spread) / max(1, n) / np.outer(scale, scale), 0) ** 4  # near 1 for copies only
+    alone = 1 / np.maximum(1, alike.sum(1))
+    say, corr = alone.copy(), np.eye(m)
+    p = np.clip(0.5 + 0.5 * (votes * say).sum(1) / np.maximum(1e-9, (np.abs(votes) * say).sum(1)), 0.02, 0.98)
     if trusted is not None:
         p = np.where(votes[:, trusted] == 1, TRUST, np.where(votes[:, trusted] == -1, 1 - TRUST, p))
     for turn in range(rounds):
@@ -140,7 +144,7 @@ def label_model(votes: np.ndarray, trusted: int | None = None, rounds: int = 30)
             rest = votes - expect
             scale = np.sqrt((rest**2).mean(0)) + 1e-9
             corr = (rest.T @ rest) / n / np.outer(scale, scale)
-            say = 1 / (1 + np.maximum(corr - np.eye(m), 0).sum(1).clip(0))
+            say = np.minimum(alone, 1 / (1 + np.maximum(corr - np.eye(m), 0).sum(1).clip(0)))
             if trusted is not None:
                 say[trusted] = 1
         logs = np.log(table[1]) - np.log(table[0])
