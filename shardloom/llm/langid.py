@@ -76,9 +76,9 @@ def fit_text(docs: DataFrame, langs: tuple[str, ...], text_col: str = "text", la
     """Log likelihoods (language, cell) from all documents whose language is one of ``langs``; its size is fixed."""
     rows = docs.filter(F.col(lang_col).isin(*langs)).select(F.col(lang_col), F.col(text_col))
     counts = rows.mapInArrow(_count(langs), "lang int, counts binary")
-    few = counts.coalesce(64).mapInArrow(_sum, counts.schema)  # at most 64 tables a language come to the driver
+    few = counts.coalesce(64).mapInArrow(_sum, counts.schema)
     total = np.ones((len(langs), 1 << TABLE_BITS))
-    for lang, raw in few.collect():
+    for lang, raw in few.repartition(len(langs), "lang").mapInArrow(_sum, counts.schema).collect():  # a table a language
         total[lang] += np.frombuffer(raw, np.int64)
     return np.log(total / total.sum(1, keepdims=True)).astype(np.float32)
 
