@@ -14,6 +14,7 @@ from shardloom.functions.paths import shard_key, sidecar_key
 from shardloom.operators import batching, decode, errors, samples
 from shardloom.operators.base import AbstractFilter, AbstractMapper, Operator, as_list
 from shardloom.plans import config, manifest
+from shardloom.session import ship
 from shardloom.sources.loader import Loader
 from shardloom.sources.tarshards import read_tars
 
@@ -136,7 +137,7 @@ def create_dataset(
     kwargs = {"partial": True, **dict(additional_decoder_kwargs or {})}
     if "passthrough_keys" in kwargs:
         kwargs["passthrough"] = kwargs.pop("passthrough_keys")
-    return Dataset(spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), urls, copy.copy(pipeline_config or {}), fields, handlers, kwargs, steps_of(preprocessors), steps_of(postprocessors), errors.named(error_handler))
+    return Dataset(ship(spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()), urls, copy.copy(pipeline_config or {}), fields, handlers, kwargs, steps_of(preprocessors), steps_of(postprocessors), errors.named(error_handler))
 
 
 def create_loader(
