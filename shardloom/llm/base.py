@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardloom.session import ship
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_ROOT = Path(__file__).resolve().parents[2]
-_shipped: set[str] = set()
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Makes the session fit for these operators: a checkpoint folder, and workers that can import them.
@@ -28,16 +22,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shardloom-"))
-    if str(_ROOT) not in os.environ.get("PYTHONPATH", "").split(":") and sc.applicationId not in _shipped:
-        _shipped.add(sc.applicationId)
-        folder = tempfile.mkdtemp(prefix="shardloom-")
-        archive = Path(folder, "shardloom-workers.zip")
-        with zipfile.ZipFile(archive, "w") as out:
-            for path in sorted((_ROOT / "shardloom").rglob("*.py")):
-                out.write(path, path.relative_to(_ROOT))
-        sc.addPyFile(str(archive))
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return spark
+    return ship(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
