@@ -143,3 +143,12 @@ def test_loader_writes(spark, tmp_path):
     loader = create_loader(create_dataset(dataset(tmp_path), {"repeat": 1}, decoders=["txt"], fields=["txt"]), 3, partial=True)
     loader.write(str(tmp_path / "out"))
     assert os.path.isdir(tmp_path / "out") and spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_exports():
+    import shardloom
+
+    assert shardloom.create_dataset is create_dataset and shardloom.filters.SimpleKeyFilter is SimpleKeyFilter
+    assert shardloom.mappers.Rescaler is Rescaler and shardloom.warn_and_continue("going on") is True
+    with pytest.raises(AttributeError):
+        shardloom.nothing
