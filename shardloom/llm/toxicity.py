@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +78,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _all_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for found in _features(batches):
-        yield pa.record_batch([pa.array([x.tobytes() for x in found], pa.binary())], ["features"])
+    """(label, features) of rows of label and text."""
+    for batch in batches:
+        found = next(_features(iter([batch])))
+        yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["label", "features"])
 
 
 def _sampled(candidates: np.ndarray):
@@ -179,37 +180,42 @@ def train_linear(features: list[np.ndarray], target: np.ndarray, known: np.ndarr
     return weight, float(bias)
 
 
-def _candidates(sampled: DataFrame) -> np.ndarray:
-    """Features that toxic documents have more often, of ``PART`` documents of either label at most; sorted hashes.
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features that toxic documents have more often, of rows of label and features; sorted hashes, in one row.
 
-    Texts' features come to the driver one after another; all of the rest that is judged by the whole sample.
+    ``PART`` documents of either label at most are looked at, in one task; what it finds is judged by
+    the whole sample later.
     """
+    known = [np.zeros(0, np.uint64)] * 2
+    times, n, waiting = [np.zeros(0, np.int64)] * 2, [0, 0], ([], [])
+
+    def add(k: int) -> None:
+        new, count = np.unique(np.concatenate(waiting[k]), return_counts=True)
+        both = np.union1d(known[k], new)
+        sums = np.zeros(len(both), np.int64)
+        sums[np.searchsorted(both, known[k])] += times[k]
+        sums[np.searchsorted(both, new)] += count
+        known[k], times[k] = both, sums
+        waiting[k].clear()
 
-    def part(which: str) -> Iterator[np.ndarray]:
-        some = sampled.filter(which).orderBy(F.md5(F.col("id").cast("string")), "id").limit(PART).select("text")
-        for row in some.mapInArrow(_all_features, "features binary").toLocalIterator():
-            yield np.frombuffer(row.features, np.uint64)
-
-    known, times, n, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, []
-    for found in chain(part("label > 0"), [None]):
-        if found is not None:
-            n += 1
-            waiting.append(found)
-        if waiting and (found is None or len(waiting) == 500):
-            new, count = np.unique(np.concatenate(waiting), return_counts=True)
-            both = np.union1d(known, new)
-            sums = np.zeros(len(both), np.int64)
-            sums[np.searchsorted(both, known)] += times
-            sums[np.searchsorted(both, new)] += count
-            known, times, waiting = both, sums, []
-    known, times = known[times >= LEAST], times[times >= LEAST]
-    clean, m = np.zeros(len(known), np.int64), 0
-    for found in part("label <= 0") if len(known) else ():
-        m += 1
-        at = np.searchsorted(known, found).clip(0, len(known) - 1)
-        clean[at[known[at] == found]] += 1
-    odds = np.log((times + 0.5) / (n + 1)) - np.log((clean + 0.5) / (m + 1))
-    return known[odds > 1.0]
+    for batch in batches:
+        for label, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            k = int(label > 0)
+            n[k] += 1
+            waiting[k].append(np.frombuffer(found.as_buffer(), np.uint64))
+            if len(waiting[k]) == 250:
+                add(k)
+    for k in (0, 1):
+        if waiting[k]:
+            add(k)
+    often = times[1] >= LEAST
+    hashes, toxic = known[1][often], times[1][often]
+    clean = np.zeros(len(hashes), np.int64)
+    if len(known[0]):
+        at = np.searchsorted(known[0], hashes).clip(0, len(known[0]) - 1)
+        clean = np.where(known[0][at] == hashes, times[0][at], 0)
+    odds = np.log((toxic + 0.5) / (n[1] + 1)) - np.log((clean + 0.5) / (n[0] + 1))
+    yield pa.record_batch([pa.array([hashes[odds > 1.0].tobytes()], pa.binary())], ["features"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> dict:
@@ -227,7 +233,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sampled = cut(texts.join(F.broadcast(chosen), "id").select("id", "label", "text"))
     listed = np.unique(np.array(words, np.uint64))
-    candidates = np.union1d(_candidates(sampled), listed)
+    by_hash = [F.md5(F.col("id").cast("string")), F.col("id")]
+    part = sampled.filter("label > 0").orderBy(*by_hash).limit(PART).union(sampled.filter("label <= 0").orderBy(*by_hash).limit(PART))
+    found = part.select("label", "text").mapInArrow(_all_features, "label int, features binary").coalesce(1).mapInArrow(_candidates, "features binary").collect()
+    candidates = np.union1d(np.frombuffer(found[0].features, np.uint64), listed)
     rows = sampled.mapInArrow(_sampled(candidates), "id long, label int, votes binary, features binary")
     rows = sorted(rows.collect(), key=lambda r: (r.id, r.features))[:sample]
     features = [np.frombuffer(r.features, np.int32) for r in rows]
