@@ -20,6 +20,9 @@ from shardloom.sources.tarshards import read_tars
 
 Step = Operator | Callable[[DataFrame], DataFrame]
 
+#: Different fields that a dataset may find by itself.
+MOST_FIELDS = 1000
+
 
 def steps_of(configs: Iterable[Any] | None) -> list[Operator]:
     """Filters and mappers of a list of them or of their configurations."""
@@ -104,7 +107,9 @@ class Dataset:
         if self.decoders is not None:
             names = self.fields
             if names is None:  # which fields there are must be known to make columns of them
-                names = [r[0] for r in df.select(F.explode(F.map_keys("fields"))).distinct().limit(1000).collect()]
+                names = [r[0] for r in df.select(F.explode(F.map_keys("fields"))).distinct().limit(MOST_FIELDS + 1).collect()]
+                if len(names) > MOST_FIELDS:
+                    raise ValueError(f"more than {MOST_FIELDS} different fields; name those wanted in fields")
             with errors.on_error(self.policy):
                 df = decode.decode(df, sorted(names), *self.decoders, **self.decoder_kwargs)
         return apply_steps(df, self.post, self.policy)

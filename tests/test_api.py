@@ -49,6 +49,15 @@ def test_dataset(spark, tmp_path):
     assert {"png", "json", "txt", "cls"} <= set(found.columns)
 
 
+def test_too_many_fields_are_an_error(spark, tmp_path, monkeypatch):
+    path = write_tar(tmp_path / "s.tar", [(f"000.f{k}", b"1") for k in range(4)])
+    monkeypatch.setattr("shardloom.api.MOST_FIELDS", 3, raising=False)
+    with pytest.raises(ValueError, match="more than 3 different fields"):
+        create_dataset(path, decoders=["rgb8"]).frame()
+    monkeypatch.setattr("shardloom.api.MOST_FIELDS", 4)
+    assert {f"f{k}" for k in range(4)} <= set(create_dataset(path, decoders=["rgb8"]).frame().columns)
+
+
 def test_sidecar_dataset(spark, tmp_path):
     url = dataset(tmp_path)
     got = create_dataset(url, {"meta_urls": "flow"}, decoders=None).frame().collect()
