@@ -74,3 +74,8 @@ def test_label_model_finds_good_and_copied_voters():
     assert right[0] > right[1] > right[2]
     assert corr[2, 3] > 0.9 > corr[0, 1]
     assert ((p > 0.5) == y).mean() > 0.9
+
+
+def test_shouting_counts_the_whole_text():
+    calm = "a " * 60_000
+    assert toxicity.pattern_votes(calm + "B " * 300_000) != toxicity.pattern_votes(calm + "b " * 300_000)
