@@ -9,13 +9,20 @@ Counts for the order come from a table of fixed size over all shingles of all do
 order gives the same result, so that it is approximate costs time only.
 
 Classes need no pair within a group of copies: equal sets collapse first; where a token's documents
-meet, each is first paired with a few others; linked documents then count as one class, and after
-some such rounds only pairs across classes are left for a last, complete round.
+meet, each is first paired with two others; linked documents then count as one class. A second round
+is complete, over tokens that several classes have. It gives out no pairs: each task names the groups
+of documents that its candidates connect, such groups are joined to blocks, and each document's text
+goes to its block, where all pairs of different classes are compared in memory. A large block is a grid
+of cells; what comes out is a spanning forest of links. Rows so grow with documents, not with pairs.
+
+A token that very many documents have is dealt out by salts, at first from the count table, which is
+never less than the token's count, later by its own count.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,36 +30,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardloom.llm.base import cut, n_parts, prepare
-from shardloom.llm.graph import components
+from shardloom.llm.base import cut, n_parts, prepare, unused
+from shardloom.llm.graph import Groups, components
 from shardloom.llm.textkernel import mix, shingle_sets
 
 SKETCH_BITS = 18
 _PIECES = 16
 #: Requests for texts (of 32 bytes) that are sent to all executors at most.
 MOST_SENT = 500_000
-#: Rounds that pair each node with few others, before the complete one.
-TURNS = 2
+#: Documents of a token that one task compares, about; documents and shingles of a part of a block.
+HOT_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 4096, 512, 1 << 20
 _CLASS_BITS = np.uint64(6)
 
 
 SCANNED = ["id", "n", "digest", "outline", "piece", "counts"]
-#: A set's counts in 128 equal ranges of the hash, modulo 16.
-_RANGES = 128
+#: A set's counts in 256 equal ranges of the hash, modulo 4.
+_RANGES = 256
 #: Stands for an unknown outline. A set that happens to have it is compared without.
-_NO_OUTLINE = b"\xff" * (_RANGES // 2)
+_NO_OUTLINE = b"\xff" * (_RANGES // 4)
+_four = np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3
+_steps = (_four[:, None] - _four[None]) & 3
+#: How far two bytes of outlines are apart.
+_APART = np.minimum(_steps, 4 - _steps).sum(-1).astype(np.uint8)
 
 
 def _outline(found: np.ndarray) -> bytes:
-    counts = (np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=_RANGES) & 15).astype(np.uint8)
-    return (counts[::2] | counts[1::2] << 4).tobytes()
+    counts = (np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=_RANGES) & 3).astype(np.uint8)
+    return (counts[::4] | counts[1::4] << 2 | counts[2::4] << 4 | counts[3::4] << 6).tobytes()
 
 
 def _far(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     """The least number of tokens that are in one of two sets only, from their outlines; 0 if one is unknown."""
-    low, high = (one - many) & 15, ((one >> 4) - (many >> 4)) & 15
-    apart = (np.minimum(low, 16 - low) + np.minimum(high, 16 - high)).sum(-1, dtype=np.int64)
-    return np.where((one == 255).all(-1) | (many == 255).all(-1), 0, apart)
+    return np.where((one == 255).all(-1) | (many == 255).all(-1), 0, _APART[one, many].sum(-1, dtype=np.int64))
 
 
 def _scan(n: int):
@@ -94,8 +103,8 @@ def _sum_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["piece", "counts"])
 
 
-def _rarity(scanned: DataFrame) -> np.ndarray:
-    """A class from 0 (rare) to 63 for each cell of the count table; its size is fixed."""
+def _rarity(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A class from 0 (rare) to 63 for each cell of the count table, and in how many parts its tokens are dealt out."""
     pieces = scanned.filter("piece is not null").select("piece", "counts")
     few = pieces.coalesce(max(1, min(64, pieces.rdd.getNumPartitions()))).mapInArrow(_sum_pieces, pieces.schema)
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -103,22 +112,24 @@ def _rarity(scanned: DataFrame) -> np.ndarray:
     for piece, part in few.repartition(_PIECES, "piece").mapInArrow(_sum_pieces, pieces.schema).collect():
         counts[piece * each : (piece + 1) * each] += np.frombuffer(part, np.int64)
     usual = max(1.0, float(np.median(counts)))
-    return np.clip(np.floor(4 * np.log2(np.maximum(counts / usual, 1e-9))), 0, 63).astype(np.uint8)
+    salts = np.maximum(1, counts // max(HOT_ROWS, int(8 * usual)))
+    return np.clip(np.floor(4 * np.log2(np.maximum(counts / usual, 1e-9))), 0, 63).astype(np.uint8), salts
 
 
 def _prefixes(n: int, num: int, den: int, rarity):
-    """(token, id and set size) of each document's prefix; equal sets of a task give one.
+    """(token, id, set size and salt) of each document's prefix; equal sets of a task give one.
 
-    One more row per document has set size -1 and, for a token, the high halves of the prefix's last token
+    The salt is -1 for tokens that aren't dealt out. One more row per document has set size -1 and, for a token, the high halves of the prefix's last token
     and of the one that nine tenths of the prefix don't exceed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = rarity.value.astype(np.uint64) << (np.uint64(64) - _CLASS_BITS)
+        classes, parts = rarity.value
+        classes = classes.astype(np.uint64) << (np.uint64(64) - _CLASS_BITS)
         shift = np.uint64(64 - SKETCH_BITS)
         seen: set[bytes] = set()
         for batch in batches:
-            tokens, ids, sizes, ends = [], [], [], []
+            tokens, ids, sizes, salts, ends = [], [], [], [], []
             for doc, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True):
                 size = len(found)
                 if not size or doc is None:
@@ -129,25 +140,29 @@ def _prefixes(n: int, num: int, den: int, rarity):
                 if len(seen) < 1_000_000:  # beyond, copies are only found later
                     seen.add(digest)
                 keep = size - -(-num * size // den) + 1
-                token = np.sort(classes[found >> shift] | (found >> _CLASS_BITS))[:keep]
+                token = classes[found >> shift] | (found >> _CLASS_BITS)
+                order = token.argsort()[:keep]
+                token, part = token[order], parts[found[order] >> shift]
                 tokens.append(token)
                 ids.append(np.full(len(token), doc, np.int64))
                 sizes.append(np.full(len(token), size, np.int64))
+                salts.append(np.where(part > 1, zlib.crc32(b"%d" % doc) % part, -1).astype(np.int32))
                 ends.append((int(token[-1]) >> 32 << 32 | int(token[9 * (len(token) - 1) // 10]) >> 32, doc))
                 if len(tokens) == 2000:
-                    yield _posting(tokens, ids, sizes, ends)
-                    tokens, ids, sizes, ends = [], [], [], []
+                    yield _posting(tokens, ids, sizes, salts, ends)
+                    tokens, ids, sizes, salts, ends = [], [], [], [], []
             if tokens:
-                yield _posting(tokens, ids, sizes, ends)
+                yield _posting(tokens, ids, sizes, salts, ends)
 
     return run
 
 
-def _posting(tokens: list, ids: list, sizes: list, ends: list) -> pa.RecordBatch:
+def _posting(tokens: list, ids: list, sizes: list, salts: list, ends: list) -> pa.RecordBatch:
     tokens = [*tokens, np.array([x for x, _ in ends], np.uint64)]
     ids = [*ids, np.array([x for _, x in ends], np.int64)]
     sizes = [*sizes, np.full(len(ends), -1, np.int64)]
-    return pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["token", "id", "size"])
+    salts = [*salts, np.full(len(ends), -1, np.int32)]
+    return pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(salts))], ["token", "id", "size", "salt"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -173,28 +188,31 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, those whose token has more than one, with the token's smallest id; and those of ends."""
-    for token, doc, size in _runs(batches):
+    """Of rows sorted by token and salt, those whose token others may have, with the smallest id that meets here; and those of ends."""
+    names = ["token", "id", "size", "salt", "head"]
+    for token, doc, size, salt in _runs(batches):
         own = size >= 0
         if not own.all():
             rest = ~own
-            yield pa.record_batch([pa.array(token[rest]), pa.array(doc[rest]), pa.array(size[rest]), pa.array(doc[rest])], ["token", "id", "size", "head"])
-            token, doc, size = token[own], doc[own], size[own]
-        if len(token) > 1:
-            same = token[1:] == token[:-1]
-            keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            yield pa.record_batch([pa.array(x[rest]) for x in (token, doc, size, salt, doc)], names)
+            token, doc, size, salt = token[own], doc[own], size[own], salt[own]
+        if len(token):
+            new = np.concatenate(([True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
+            first = np.flatnonzero(new)
+            length = np.diff(np.append(first, len(token)))
+            head = np.repeat(np.minimum.reduceat(doc, first), length)
+            keep = (salt >= 0) | (np.repeat(length, length) > 1)
             if keep.any():
-                token, doc, size = token[keep], doc[keep], size[keep]
-                first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-                head = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(token))))
-                yield pa.record_batch([pa.array(x) for x in (token, doc, size, head)], ["token", "id", "size", "head"])
+                yield pa.record_batch([pa.array(x[keep]) for x in (token, doc, size, salt, head)], names)
 
 
 class _Rows:
-    """Rows sorted by token, set size and node, with the filters for two of them that share a token."""
+    """Rows sorted by key (that of a token, or of a part of its rows), set size and node, with the filters for two that share one."""
 
     def __init__(self, cols: list[np.ndarray], num: int, den: int) -> None:
-        self.token, self.node, self.root, self.size, self.rank, self.shared, self.ends, self.outline = cols
+        self.key, self.node, self.root, self.size, self.rank, self.shared, self.ends, self.outline = cols[:8]
+        self.head = np.flatnonzero(np.concatenate(([True], self.key[1:] != self.key[:-1])))
+        self.length = np.diff(np.append(self.head, len(self.key)))
         self.num, self.den = num, den
         prefix = self.size - -(-num * self.size // den) + 1
         self.tail = self.size - prefix  # tokens after the prefix
@@ -254,53 +272,81 @@ class _Pairs:
             yield pa.record_batch([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
 
-def _meet(num: int, den: int, turn: int | None):
-    """Candidate pairs of rows sorted by token, set size and node.
-
-    Turn 0: each node with the token's first node and with the one before it. A later turn: each node
-    with one node of another class, picked by a hash that the turn changes, so that all the tokens two
-    nodes share pick alike. None: all pairs of different classes.
-    """
+def _meet(num: int, den: int):
+    """Candidate pairs of rows sorted by key, set size and node: each with the key's first node and with the one before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Pairs()
         for cols in _runs(batches):
             x = _Rows(cols, num, den)
-            head = np.flatnonzero(np.concatenate(([True], x.token[1:] != x.token[:-1])))
-            length = np.diff(np.append(head, len(x.token)))
-            if turn == 0:
-                first, here = np.repeat(head, length), np.arange(len(x.token))
-                left, right = np.concatenate((first, np.maximum(here - 1, first))), np.concatenate((here, here))
-                ok = np.flatnonzero((left < right) & x.near(left, right))
-                ok = ok[x.passes(left[ok], right[ok])]
-                found.add(x.node[left[ok]], x.node[right[ok]])
-                yield from found.out(1 << 20)
-                continue
-            mixed = np.minimum.reduceat(x.root, head) != np.maximum.reduceat(x.root, head)
-            end = np.repeat(head + length, length)
-            left = np.flatnonzero(np.repeat(mixed, length))
-            order, best, pick = mix(x.node.view(np.uint64) + np.uint64(turn or 0)), np.full(len(x.token), ~np.uint64(0)), np.full(len(x.token), -1)
-            step = 0
-            while len(left):  # each row with the one ``step`` behind it; sizes grow, so who is too small stays so
-                step += 1
-                left = left[left + step < end[left]]
-                left = left[x.near(left, left + step)]
-                ok = left[x.root[left] != x.root[left + step]]
-                ok = ok[x.passes(ok, ok + step)]
-                if turn is None:
-                    found.add(x.node[ok], x.node[ok + step])
-                    yield from found.out(1 << 20)
-                else:
-                    ok = ok[order[ok] < best[ok + step]]
-                    best[ok + step], pick[ok + step] = order[ok], ok
-            if turn is not None:
-                ok = np.flatnonzero(pick >= 0)
-                found.add(x.node[pick[ok]], x.node[ok])
+            first, here = np.repeat(x.head, x.length), np.arange(len(x.key))
+            left, right = np.concatenate((first, np.maximum(here - 1, first))), np.concatenate((here, here))
+            ok = np.flatnonzero((left < right) & x.near(left, right))
+            ok = ok[x.passes(left[ok], right[ok])]
+            found.add(x.node[left[ok]], x.node[right[ok]])
+            yield from found.out(1 << 20)
         yield from found.out(0)
 
     return run
 
 
+def _across(x: _Rows, groups: Groups) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates of different classes, each row with the one some steps behind it; sizes grow, so who is too small stays so.
+
+    Rows that ``groups`` has connected meanwhile aren't compared.
+    """
+    mixed = np.minimum.reduceat(x.root, x.head) != np.maximum.reduceat(x.root, x.head)
+    end = np.repeat(x.head + x.length, x.length)
+    left = np.flatnonzero(np.repeat(mixed, x.length))
+    step, group = 0, None
+    while len(left):
+        step += 1
+        left = left[left + step < end[left]]
+        left = left[x.near(left, left + step)]
+        ok = left[x.root[left] != x.root[left + step]]
+        if step & (step - 1) == 0 and step > 1:
+            group = np.array([groups.find(n) for n in x.node.tolist()], np.int64)
+        if group is not None:
+            ok = ok[group[ok] != group[ok + step]]
+        ok = ok[x.passes(ok, ok + step)]
+        yield ok, ok + step
+
+
+def _visits(x: _Rows, visitor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates of different classes of which one is a visitor and the other is not."""
+    for head, length in zip(x.head.tolist(), x.length.tolist(), strict=True):
+        here = visitor[head : head + length]
+        own = head + np.flatnonzero(~here)
+        for at in (head + np.flatnonzero(here)).tolist():
+            left, right = np.minimum(own, at), np.maximum(own, at)
+            ok = np.flatnonzero((x.root[own] != x.root[at]) & x.near(left, right))
+            ok = ok[x.passes(left[ok], right[ok])]
+            yield left[ok], right[ok]
+
+
+def _connect(num: int, den: int):
+    """Groups of nodes that candidates of different classes connect, over all rows of a task: (node, another of its group).
+
+    Rows are sorted by key, set size and node. Visitors of a key meet its own rows only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = Groups()
+        for cols in _runs(batches):
+            x, visitor = _Rows(cols, num, den), cols[8].astype(bool)
+            own = _Rows([c[~visitor] for c in cols], num, den) if visitor.any() else x
+            todo = [(own, _across(own, groups))] if len(own.key) else []
+            todo += [(x, _visits(x, visitor))] if visitor.any() else []
+            for rows, found in todo:
+                for left, right in found:
+                    for a, b in zip(rows.node[left].tolist(), rows.node[right].tolist(), strict=True):
+                        groups.join(a, b)
+        out = [(a, groups.find(a)) for a in list(groups.up)]
+        yield pa.record_batch([pa.array([a for a, b in out if a != b], pa.int64()), pa.array([b for a, b in out if a != b], pa.int64())], ["u", "v"])
+
+    return run
+
+
 def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     """Whether den * intersection >= num * union, of sorted distinct hashes."""
     if den * min(len(x), len(y)) < num * max(len(x), len(y)) or not len(x):
@@ -332,17 +378,99 @@ def _verify(n: int, num: int, den: int):
     return run
 
 
+def _compare(n: int, num: int, den: int):
+    """Links between classes, of rows sorted by block and cell, the cell's first part first; a spanning forest a cell.
+
+    A cell compares the texts of two parts of a block, or of one part, and no two texts of one class.
+    """
+
+    def links(held: list[list[tuple]]) -> list[tuple[int, int]]:
+        groups, found = Groups(), []
+        firsts, others = held if held[1] else (held[0], held[0])
+        others = sorted(others, key=lambda r: len(r[2]))
+        size = np.array([len(r[2]) for r in others], np.int64)
+        outline = np.frombuffer(b"".join(_outline(r[2]) for r in others), np.uint8).reshape(len(others), -1)
+        for node, root, mine in firsts:
+            low, high = np.searchsorted(size, [-(-num * len(mine) // den), den * len(mine) // num + 1])
+            both = size[low:high] + len(mine)
+            apart = _far(np.frombuffer(_outline(mine), np.uint8)[None], outline[low:high])
+            for k in (low + np.flatnonzero(apart <= both - 2 * -(-num * both // (num + den)))).tolist():
+                other, its, there = others[k]
+                if groups.find(root) != groups.find(its) and similar(mine, there, num, den):
+                    groups.join(root, its)
+                    found.append((node, other))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, [[], []]
+
+        def given() -> pa.RecordBatch:
+            found = links(held) if held[0] else []
+            return pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            for *cell, side, node, root, found in zip(*(batch.column(i).to_pylist() for i in range(6)), shingle_sets(batch.column(6), n), strict=True):
+                if cell != key:
+                    yield given()
+                    key, held = cell, [[], []]
+                if len(found):
+                    held[side].append((node, root, found))
+        yield given()
+
+    return run
+
+
 def _links(spark: SparkSession, texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that are similar enough. A text goes once to each pair, and once to each block of pairs."""
-    pairs = pairs.withColumn("salt", F.pmod(F.hash("b"), F.lit(16)))
+    n_pairs = pairs.count()
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(max(16, n_pairs // HOT_ROWS))))
     asked = pairs.select("a", "salt", "b", F.col("b").alias("id")).union(pairs.select("a", "salt", F.lit(None).cast("long"), F.col("a")).distinct())
-    # Few enough requests go to the texts; else both meet by id.
-    how = "broadcast" if pairs.count() <= MOST_SENT // 2 else "shuffle_hash"
-    rows = texts.join(asked.hint(how), "id").select("a", "salt", "b", "text")
+    rows = texts.join(asked.hint(_how(2 * n_pairs)), "id").select("a", "salt", "b", "text")
     rows = rows.repartition(n_parts(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return rows.mapInArrow(_verify(n, num, den), "u long, v long")
 
 
+def _how(requests: int) -> str:
+    """Few enough requests go to the texts; else both meet by id."""
+    return "broadcast" if requests <= MOST_SENT else "merge"
+
+
+def _last_links(spark: SparkSession, texts: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """All links that are left between ``classes``, or enough of them to connect what they connect."""
+    parts = n_parts(spark)
+    # Tokens of several classes; the largest of these is the main one.
+    by_class = classes.groupBy("token", "root").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    mixed = by_class.groupBy("token").agg(F.sum("n").alias("many"), F.max_by("root", "n").alias("main"), F.min("node").alias("first"), F.count("*").alias("kinds")).filter("kinds > 1")
+    rows = classes.drop("salt", "head").join(mixed.drop("kinds"), "token")
+    # A token of many rows is dealt out; rows that aren't of its main class visit all its parts.
+    rows = rows.withColumn("cells", F.ceil(F.col("many") / HOT_ROWS)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)
+    rows = rows.withColumn("cell", F.explode(F.when((F.col("cells") > 1) & (F.col("root") != F.col("main")), every).otherwise(F.array("own"))))
+    rows = rows.withColumn("key", F.xxhash64("token", "cell"))
+    # Tokens of one group of documents meet in some tasks, not in all, as a task gives out each of its groups once.
+    rows = rows.repartition(parts, "first", F.pmod("token", F.lit(_spread(parts))), "cell").sortWithinPartitions("key", "size", "node")
+    rows = rows.select("key", "node", "root", "size", F.col("rank").cast("long"), "shared", "ends", "outline", (F.col("cell") != F.col("own")).cast("long").alias("visits"))
+    near = cut(rows.mapInArrow(_connect(num, den), "u long, v long").distinct())
+    if near.isEmpty():
+        return near
+    known = classes.groupBy("node").agg(F.min("root").alias("class"), F.max("size").alias("size"))
+    members = components(near).withColumnRenamed("root", "block").join(known, "node")
+    blocks = members.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_SHINGLES)).alias("parts"))
+    members = members.join(blocks, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    # The parts of a block meet two by two; a text goes to as many cells as its block has parts.
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    asked = members.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), F.col("node").alias("id"), "class")
+    asked = cut(asked)
+    cells = texts.join(asked.hint(_how(asked.count())), "id").select("block", "i", "j", "side", "id", "class", "text")
+    cells = cells.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "side", "id")
+    return cut(cells.mapInArrow(_compare(n, num, den), "u long, v long"))
+
+
+def _spread(parts: int) -> int:
+    """How many tasks the tokens of one group of documents go to."""
+    return max(4, parts // 4)
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Classes of documents linked by ``den * intersection >= num * union`` of their shingle sets.
 
@@ -361,41 +489,36 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = scanned.filter("piece is null").select("id", "n", "digest")
     outlines = scanned.filter("piece is null and n > 0").groupBy(F.col("id").alias("node")).agg(F.when(F.min("digest") == F.max("digest"), F.min("outline")).alias("outline"))
     rarity = spark.sparkContext.broadcast(_rarity(scanned))
+    # Ids of several texts keep their own name, as a node's texts are those of the id it is named by.
+    odd = outlines.filter("outline is null").select(F.col("node").alias("id"))
 
     # Rows with equal sets are one node, named by the smallest id.
     sets = rows.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
     named = rows.join(sets.filter("copies > 1").select("digest", "node"), "digest").filter("id <> node").select("id", "node")
     equal = named.select(F.col("id").alias("u"), F.col("node").alias("v"))
 
-    found = texts.mapInArrow(_prefixes(n, num, den, rarity), "token long, id long, size long")
-    found = cut(found.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_shared, "token long, id long, size long, head long"))
-    found = found.join(named.groupBy("id").agg(F.min("node").alias("node")), "id", "left")
-    found = found.select("token", "size", "head", F.coalesce("node", "id").alias("node"))
+    found = texts.mapInArrow(_prefixes(n, num, den, rarity), "token long, id long, size long, salt int")
+    found = cut(found.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_shared, "token long, id long, size long, salt int, head long"))
+    renamed = named.join(odd, "id", "left_anti").groupBy("id").agg(F.min("node").alias("node"))
+    found = found.join(renamed, "id", "left").select("token", "size", "salt", "head", F.coalesce("node", "id").alias("node"))
     ends = found.filter("size < 0").groupBy("node").agg(F.when(F.min("token") == F.max("token"), F.min("token")).alias("ends"))
-    found = found.filter("size >= 0").distinct()
+    # A node that was renamed comes with the salts and heads of its copies; one is enough where they meet all.
+    found = found.filter("size >= 0").groupBy("token", "node", "size").agg(F.min(F.struct("salt", "head")).alias("at")).select("token", "node", "size", "at.salt", "at.head")
     # Where a token stands among those of the document's prefix that others have too, and how many these are.
     ranked = Window.partitionBy("node", "size")
     found = found.withColumn("shared", F.count("*").over(ranked)).withColumn("rank", F.row_number().over(ranked.orderBy(F.conv(F.hex("token"), 16, 10).cast("decimal(20,0)"))) - 1)
     found = cut(found.join(outlines, "node", "left").join(ends, "node", "left").withColumns({"outline": F.coalesce("outline", F.lit(_NO_OUTLINE)), "ends": F.coalesce("ends", F.lit(0))}))
 
-    def candidates(classes: DataFrame, turn: int | None) -> DataFrame:
-        # Tokens of one group of documents meet in few tasks, as what a task finds twice it gives out once.
-        ordered = classes.repartition(parts, "head", F.pmod("token", F.lit(4))).sortWithinPartitions("token", "size", "node")
-        ordered = ordered.select("token", "node", "root", "size", F.col("rank").cast("long"), "shared", "ends", "outline")
-        return ordered.mapInArrow(_meet(num, den, turn), "a long, b long").distinct()
-
-    classes, tried, links = found.withColumn("root", F.col("node")), None, equal
-    for turn in [*range(TURNS), None]:
-        pairs = candidates(classes, turn)
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
-        tried = tried.union(pairs) if tried is not None else pairs
-        if pairs.isEmpty() and turn:
-            continue
-        more = cut(_links(spark, texts, pairs, n, num, den))
-        links = links.union(more)
-        if turn == 0 or not more.isEmpty():
-            roots = components(links)
-            classes = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # What a task finds twice it gives out once, so tokens of one group of documents meet in some tasks.
+    few = found.withColumn("key", F.xxhash64("token", "salt")).repartition(parts, "head", F.pmod("token", F.lit(_spread(parts))), "salt").sortWithinPartitions("key", "size", "node")
+    few = few.select("key", "node", F.col("node").alias("root"), "size", F.col("rank").cast("long"), "shared", "ends", "outline")
+    pairs = cut(few.mapInArrow(_meet(num, den), "a long, b long").distinct())
+    links = equal.union(cut(_links(spark, texts, pairs, n, num, den)))
+    roots = components(links)
+    classes = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = _last_links(spark, texts, classes, n, num, den)
+    # What is linked now are classes, of which their roots are the names.
+    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     out = rows.join(roots, rows.id == roots.node, "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
 
@@ -405,6 +528,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Repeated rows of a document that stays all stay. All columns of ``docs`` are returned as they are.
     """
+    (gone,) = unused(docs, "gone")
     classes = jaccard_classes(docs, id_col, text_col, **how)
-    gone = classes.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == F.col("__gone"), "left_anti")
+    gone_ids = classes.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
+    return docs.join(gone_ids, docs[id_col] == gone_ids[gone], "left_anti")
