@@ -2,15 +2,22 @@
 
 Inner product becomes a metric: with M no less than any norm, a vector v gets one more component,
 sqrt(M^2 - |v|^2), and a query gets 0. Then |q' - v'|^2 = |q|^2 + M^2 - 2 q.v, so the nearest vectors
-have the highest products. Trees of bounded size hold pages of vectors around a routing vector, with
-its covering radius, and each vector's distance to it. A query takes pages in the order of their
-least possible distance until that exceeds its k-th; in a page, the stored distances spare what the
-triangle inequality excludes. Queries are sent in blocks of bounded size; scores are exact integers.
+have the highest products. A tree's leaves are pages of vectors; each node has a routing vector and a
+covering radius, and each child and vector its distance to that of its parent. A query keeps the nodes
+it may still need in a heap, by their least possible distance, and stops where that exceeds its k-th;
+the stored distances spare it the routing vectors and products that the triangle inequality excludes.
+
+Vectors go to trees by the nearest of some pivots, so near ones share a tree; a pivot of very many
+vectors has several. A query first searches the tree that may hold the nearest vectors, then all others
+whose own radius doesn't exclude them by the k-th score found there. Queries travel to trees.
 """
 
 from __future__ import annotations
 
+import heapq
 import pickle
+import zlib
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,141 +27,242 @@ from pyspark.sql import functions as F
 
 from shardloom.llm.base import cut, n_parts, prepare
 
-#: Vectors of a tree, about; vectors of a page; queries that are sent at once.
-TREE_ROWS, PAGE_ROWS, QUERY_ROWS = 4096, 64, 4096
-_LIMIT = 1 << 31
-
-
-def quantise(vector: list | np.ndarray | None, scale: float = 256.0) -> np.ndarray | None:
-    """floor(scale * x) of each component, as integers; None if it is null, empty or not finite throughout."""
-    if vector is None or len(vector) == 0 or any(x is None for x in vector):
-        return None
-    x = np.asarray(vector, np.float64)
-    return np.floor(scale * x).clip(-_LIMIT, _LIMIT).astype(np.int64) if np.isfinite(x).all() else None
+#: Vectors of a tree, about, unless there are MOST_TREES; vectors of a page; children of a node; queries that visit a tree in one task.
+TREE_ROWS, PAGE_ROWS, FAN, QUERY_ROWS = 4096, 128, 16, 4096
+MOST_TREES = 8192
+#: Rows, those of the lowest MD5 of their id, by which pivots are chosen and their shares of all rows are estimated.
+SAMPLE = 32_768
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, length, components floor(256 x) as doubles, square of the norm) of the vectors that take part."""
     for batch in batches:
-        rows = [(k, v) for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if k is not None and (v := quantise(x)) is not None]
-        norms = [float((v.astype(np.float64) ** 2).sum()) for _, v in rows]
-        yield pa.record_batch([pa.array([k for k, _ in rows], pa.int64()), pa.array([v.tobytes() for _, v in rows], pa.binary()), pa.array(norms, pa.float64())], ["id", "vector", "norm"])
+        ids, lists = batch.column(0), batch.column(1)
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values
+        known = np.concatenate(([0], np.cumsum(np.asarray(values.is_valid()))))
+        numbers = values.fill_null(0.0).to_numpy(zero_copy_only=False)
+        with np.errstate(over="ignore"):
+            whole = np.floor(numbers * 256.0)
+        finite = np.concatenate(([0], np.cumsum(np.isfinite(numbers))))
+        start, end = bounds[:-1], bounds[1:]
+        size = end - start
+        ok = np.asarray(lists.is_valid()) & np.asarray(ids.is_valid()) & (size > 0) & (known[end] - known[start] == size) & (finite[end] - finite[start] == size)
+        if not np.isfinite(whole[np.isfinite(numbers)]).all():
+            raise OverflowError("256 times a component is beyond the range of doubles")
+        at = np.flatnonzero(ok).tolist()
+        with np.errstate(over="ignore"):
+            norms = [float((whole[start[i] : end[i]] ** 2).sum()) for i in at]
+        found = [whole[start[i] : end[i]].tobytes() for i in at]
+        yield pa.record_batch([ids.filter(pa.array(ok)).cast(pa.int64()), pa.array(size[ok], pa.int32()), pa.array(found, pa.binary()), pa.array(norms, pa.float64())], ["id", "size", "vector", "norm"])
+
+
+def _exact(vectors: np.ndarray, top: float) -> np.ndarray:
+    """Whole numbers held as doubles, as numbers of which products and their sums are exact."""
+    if top < 2.0**52:
+        return vectors
+    return vectors.astype(np.int64) if top < 2.0**62 else np.array([[int(x) for x in v] for v in vectors], object)
+
+
+def _raised(vectors: np.ndarray, top: float) -> np.ndarray:
+    return np.column_stack([vectors, np.sqrt(np.maximum(top - (vectors**2).sum(1), 0))])
 
 
 class Tree:
-    """Pages of one set of vectors of the same length."""
+    """An M-tree over vectors of one length, bulk loaded."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float) -> None:
         """``top``: no less than the square of any vector's norm."""
-        self.exact = vectors.astype(np.float64) if top < 2.0**52 else vectors  # floats hold such products exactly
-        extra = np.sqrt(np.maximum(top - (vectors.astype(np.float64) ** 2).sum(1), 0))
-        points = np.column_stack([vectors, extra])
-        pages, waiting = [], [np.arange(len(ids))]
+        points = _raised(vectors, top)
         random = np.random.Generator(np.random.PCG64(len(ids)))
-        while waiting:
-            rows = waiting.pop()
+        order: list[np.ndarray] = []
+        self.routing: list[np.ndarray] = []  # of each node, as the other columns
+        self.radius: list[float] = []
+        self.to_parent: list[float] = []
+        self.children: list[tuple[int, int]] = []  # a range of nodes, or for a leaf of vectors
+        self.leaf: list[bool] = []
+        # Node by node in breadth, so that the children of one follow one another.
+        waiting: list[tuple[np.ndarray, int]] = [(np.arange(len(ids)), -1)]
+        middles: list[int] = []
+        done, placed = 0, 0
+        while done < len(waiting):
+            rows, parent = waiting[done]
+            done += 1
+            middle = int(rows[((points[rows] - points[rows].mean(0)) ** 2).sum(1).argmin()])
+            middles.append(middle)
+            self.routing.append(vectors[middle])
+            self.radius.append(float(np.sqrt(((points[rows] - points[middle]) ** 2).sum(1).max())))
+            self.to_parent.append(0.0 if parent < 0 else float(np.sqrt(((points[middle] - points[middles[parent]]) ** 2).sum())))
             if len(rows) <= PAGE_ROWS:
-                pages.append(rows)
+                self.leaf.append(True)
+                self.children.append((placed, placed + len(rows)))
+                order.append(rows)
+                placed += len(rows)
                 continue
-            seeds = random.choice(rows, min(PAGE_ROWS, -(-2 * len(rows) // PAGE_ROWS)), replace=False)
-            far = (points[seeds] ** 2).sum(1)[None] - 2 * points[rows] @ points[seeds].T
-            at = far.argmin(1)
-            parts = [rows[at == k] for k in range(len(seeds))]
-            parts = [x for x in parts if len(x)]
+            seeds = random.choice(rows, min(FAN, -(-2 * len(rows) // PAGE_ROWS)), replace=False)
+            at = ((points[seeds] ** 2).sum(1)[None] - 2 * points[rows] @ points[seeds].T).argmin(1)
+            parts = [x for k in range(len(seeds)) if len(x := rows[at == k])]
             if len(parts) == 1:  # all alike
-                pages += [rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)]
-            else:
-                waiting += parts
-        order = np.concatenate(pages)
-        self.ids, self.exact = ids[order], self.exact[order]
-        self.bounds = np.concatenate(([0], np.cumsum([len(x) for x in pages])))
-        middle = [rows[((points[rows] - points[rows].mean(0)) ** 2).sum(1).argmin()] for rows in pages]
-        self.routing = np.concatenate([vectors[[m]] for m in middle]).astype(np.float64)
-        self.to_routing = np.concatenate([np.sqrt(((points[rows] - points[m]) ** 2).sum(1)) for rows, m in zip(pages, middle, strict=True)])
-        self.radius = np.maximum.reduceat(self.to_routing, self.bounds[:-1])
+                step = -(-len(rows) // FAN)
+                parts = [rows[k : k + step] for k in range(0, len(rows), step)]
+            self.leaf.append(False)
+            self.children.append((len(waiting), len(waiting) + len(parts)))
+            waiting += [(x, done - 1) for x in parts]
+        rows = np.concatenate(order)
+        self.ids, self.exact = ids[rows], _exact(vectors, top)[rows]
+        owner = np.repeat([k for k, x in enumerate(self.leaf) if x], [len(x) for x in order])
+        self.to_page = np.sqrt(((points[rows] - points[np.array(middles)[owner]]) ** 2).sum(1))
+        self.routing, self.radius, self.to_parent = np.array(self.routing), np.array(self.radius), np.array(self.to_parent)
         self.top = top
         self.computed = 0
 
-    def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of each query's k best, best first, ties to smaller ids; id -1 where there is none."""
-        n = len(queries)
-        exact = queries.astype(self.exact.dtype)
-        squares = (queries.astype(np.float64) ** 2).sum(1)
-        slack = 1e-7 * (self.top + squares) ** 0.5 + 1e-6  # what rounding may do to a small distance of large vectors
-        to_page = np.sqrt(np.maximum(squares[:, None] + self.top - 2 * queries.astype(np.float64) @ self.routing.T, 0))
-        least = np.maximum(to_page - self.radius, 0)
-        order = least.argsort(1, kind="stable")
-        worst = self.exact.dtype.type(-np.inf if self.exact.dtype.kind == "f" else -np.iinfo(np.int64).max)
-        scores, ids = np.full((n, k), worst, self.exact.dtype), np.full((n, k), -1, np.int64)
-        reach = np.full(n, np.inf)
-        active = np.arange(n)
-        for turn in range(order.shape[1]):
-            page = order[active, turn]
-            on = least[active, page] <= reach[active] + slack[active]
-            active, page = active[on], page[on]  # pages come in order, so who stops is done
-            if not len(active):
+    def search(self, own: int, query: np.ndarray, k: int, least: int | None = None) -> list[tuple[int, int]]:
+        """(score, id) of the query's ``k`` best, best first, ties to smaller ids; scores below ``least`` may be left out."""
+        square = float((query**2).sum())
+        slack = 1e-7 * (self.top + square) ** 0.5 + 1e-6  # what rounding may do to a small distance of large vectors
+        exact = _exact(query[None], max(self.top, square))[0]
+        vectors = self.exact if self.exact.dtype == exact.dtype else _exact(self.exact.astype(np.float64), max(self.top, square))
+        found: list[tuple[int, int]] = []  # (-score, id)
+
+        def reach_of(score: int) -> float:
+            return max(square + self.top - 2.0 * float(score), 0) ** 0.5 + slack
+
+        reach = np.inf if least is None else reach_of(least)
+        first = self._far(query, square, slice(0, 1))[0]
+        heap = [(max(first - self.radius[0], 0), 0, first)]
+        while heap:
+            nearest, node, distance = heapq.heappop(heap)
+            if nearest > reach:
                 break
-            by = page.argsort(kind="stable")
-            for part in np.split(by, np.flatnonzero(np.diff(page[by])) + 1):
-                q, p = active[part], page[part[0]]
-                rows = np.arange(self.bounds[p], self.bounds[p + 1])
-                close = np.abs(to_page[q, p][:, None] - self.to_routing[rows]) <= (reach[q] + slack[q])[:, None]
-                rows = rows[close.any(0)]
+            a, b = self.children[node]
+            if self.leaf[node]:
+                rows = a + np.flatnonzero(np.abs(distance - self.to_page[a:b]) <= reach)
+                rows = rows[self.ids[rows] != own]
                 if not len(rows):
                     continue
-                self.computed += len(q) * len(rows)
-                got = exact[q] @ self.exact[rows].T
-                who = np.broadcast_to(self.ids[rows], got.shape)
-                got = np.concatenate([scores[q], got], 1)
-                who = np.concatenate([ids[q], who], 1)
-                got = np.where(who == own[q][:, None], worst, got)
-                who = np.where(who == own[q][:, None], -1, who)
-                best = np.lexsort((np.where(who < 0, np.iinfo(np.int64).max, who), -got), axis=1)[:, :k]
-                scores[q], ids[q] = np.take_along_axis(got, best, 1), np.take_along_axis(who, best, 1)
-                full = ids[q, k - 1] >= 0
-                last = np.where(full, scores[q, k - 1].astype(np.float64), 0)
-                reach[q] = np.where(full, np.sqrt(np.maximum(squares[q] + self.top - 2 * last, 0)), np.inf)
-        return scores, ids
+                self.computed += len(rows)
+                scores = vectors[rows] @ exact
+                if len(found) == k:
+                    ok = np.flatnonzero(scores >= -found[-1][0])
+                    rows, scores = rows[ok], scores[ok]
+                for item in sorted(zip((-scores).tolist(), self.ids[rows].tolist(), strict=True))[:k]:
+                    insort(found, (int(item[0]), item[1]))
+                del found[k:]
+                if len(found) == k:
+                    reach = min(reach, reach_of(-found[-1][0]))
+                continue
+            nodes = a + np.flatnonzero(np.abs(distance - self.to_parent[a:b]) - self.radius[a:b] <= reach)
+            self.computed += len(nodes)
+            for child, far in zip(nodes.tolist(), self._far(query, square, nodes).tolist(), strict=True):
+                if far - self.radius[child] <= reach:
+                    heapq.heappush(heap, (max(far - self.radius[child], 0), child, far))
+        return [(-score, doc) for score, doc in found]
+
+    def _far(self, query: np.ndarray, square: float, nodes) -> np.ndarray:
+        return np.sqrt(np.maximum(square + self.top - 2 * self.routing[nodes] @ query, 0))
+
+
+def _deal(sample: list[tuple[int, bytes]], n: int, tree_rows: int, n_pivots: int):
+    """(tree, id, length, vector): a row's tree is named by its length, nearest pivot and, for pivots of many rows, a salt."""
+    pivots: dict[int, np.ndarray] = {}
+    for size in {size for size, _ in sample[:n_pivots]}:
+        pivots[size] = np.unique(np.frombuffer(b"".join(v for s, v in sample[:n_pivots] if s == size), np.float64).reshape(-1, size), axis=0)
+
+    def nearest(size: int, vectors: np.ndarray) -> np.ndarray:
+        if size not in pivots:
+            return np.full(len(vectors), -1)
+        own = pivots[size]
+        return np.concatenate([((own**2).sum(1)[None] - 2 * vectors[k : k + 4096] @ own.T).argmin(1) for k in range(0, len(vectors), 4096)])
+
+    salts: dict[tuple[int, int], int] = {}
+    for size in {size for size, _ in sample}:
+        vectors = np.frombuffer(b"".join(v for s, v in sample if s == size), np.float64).reshape(-1, size)
+        for pivot, count in zip(*np.unique(nearest(size, vectors), return_counts=True), strict=True):
+            salts[size, int(pivot)] = max(1, round(count * n / len(sample) / tree_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            vectors = batch.column(2).to_pylist()
+            trees = [""] * len(ids)
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size).tolist()
+                for i, pivot in zip(at, nearest(size, np.frombuffer(b"".join(vectors[i] for i in at), np.float64).reshape(len(at), -1)).tolist(), strict=True):
+                    trees[i] = f"{size}-{pivot}-{zlib.crc32(b'%d' % ids[i]) % salts.get((size, pivot), 1)}"
+            yield pa.record_batch([pa.array(trees, pa.string()), *batch.columns[:3]], ["tree", "id", "size", "vector"])
+
+    return run
 
 
 def _plant(top: float):
-    """A tree for each value of the first column, of rows sorted by it, and for each length of vector."""
+    """A tree for each value of the first column, of rows sorted by it."""
 
-    def trees(rows: list[tuple]) -> Iterator[bytes]:
-        for size in sorted({len(x[1]) for x in rows}):
-            own = [x for x in rows if len(x[1]) == size]
-            vectors = np.frombuffer(b"".join(x[1] for x in own), np.int64).reshape(len(own), -1)
-            yield pickle.dumps((size // 8, Tree(np.array([x[0] for x in own], np.int64), vectors, top)))
+    def planted(name: str, rows: list[tuple]) -> pa.RecordBatch:
+        tree = Tree(np.array([x[0] for x in rows], np.int64), np.frombuffer(b"".join(x[2] for x in rows), np.float64).reshape(len(rows), -1), top)
+        cols = [[name], [rows[0][1]], [tree.routing[0].tobytes()], [float(tree.radius[0])], [pickle.dumps(tree, pickle.HIGHEST_PROTOCOL)]]
+        return pa.record_batch([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.int32(), pa.binary(), pa.float64(), pa.binary()), strict=True)], ["tree", "size", "routing", "radius", "made"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
-            for tree, doc, vector in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for tree, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if tree != key and rows:
-                    yield pa.record_batch([pa.array(list(trees(rows)), pa.binary())], ["tree"])
+                    yield planted(key, rows)
                     rows = []
                 key = tree
-                rows.append((doc, vector))
+                rows.append(row)
         if rows:
-            yield pa.record_batch([pa.array(list(trees(rows)), pa.binary())], ["tree"])
+            yield planted(key, rows)
+
+    return run
+
+
+def _route(sent, top: float, first: bool):
+    """(tree, id, vector, least) of queries (id, length, vector, least): the first tree of each, or all others that it may need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots: dict[int, tuple] = {}
+        for size in {r[1] for r in sent.value}:
+            own = [r for r in sent.value if r[1] == size]
+            roots[size] = ([r[0] for r in own], np.frombuffer(b"".join(r[2] for r in own), np.float64).reshape(len(own), -1), np.array([r[3] for r in own]))
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, size, raw, least in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if size not in roots:
+                    continue
+                names, routing, radius = roots[size]
+                query = np.frombuffer(raw, np.float64)
+                square = float((query**2).sum())
+                nearest = np.maximum(np.sqrt(np.maximum(square + top - 2 * routing @ query, 0)) - radius, 0)
+                best = int(nearest.argmin())
+                if first:
+                    out.append((names[best], doc, raw, None))
+                    continue
+                reach = np.inf if least is None else max(square + top - 2.0 * least, 0) ** 0.5 + 1e-7 * (top + square) ** 0.5 + 1e-6
+                out += [(names[t], doc, raw, least) for t in np.flatnonzero(nearest <= reach).tolist() if t != best]
+            for k in range(0, len(out), 5000):
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out[k : k + 5000], strict=True), (pa.string(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["tree", "id", "vector", "least"])
 
     return run
 
 
-def _search(sent, k: int):
+def _search(k: int):
+    """Rows sorted by tree and block of queries: the tree itself, then its queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[int, list] = {}
-        for doc, vector in sent.value:
-            groups.setdefault(len(vector) // 8, []).append((doc, vector))
-        asked = {size: (np.array([x[0] for x in rows], np.int64), np.frombuffer(b"".join(x[1] for x in rows), np.int64).reshape(len(rows), -1)) for size, rows in groups.items()}
+        tree = None
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                size, tree = pickle.loads(raw)
-                if size not in asked:
+            out: list[tuple] = []
+            for made, doc, vector, least in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if made is not None:
+                    tree = pickle.loads(made)
                     continue
-                own, queries = asked[size]
-                scores, ids = tree.search(own, queries, k)
-                ok = ids >= 0
-                yield pa.record_batch([pa.array(np.repeat(own, ok.sum(1))), pa.array(ids[ok]), pa.array(scores[ok].astype(np.int64))], ["query_id", "vec_id", "score"])
+                for score, other in tree.search(doc, np.frombuffer(vector, np.float64), k, least):
+                    if abs(score) >= 1 << 63:
+                        raise OverflowError("a score doesn't fit in a long")
+                    out.append((doc, other, score))
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -167,26 +275,34 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
 
     Vectors that are null or empty, or hold a null or a value that isn't finite, take no part, nor do
     rows with a null id. Vectors of another length than the query's are no candidates. Rows that repeat
-    an id are candidates each, but none of them for that id's own query, which counts once. Components
-    beyond 2^31 after scaling count as 2^31. Empty table: no rows.
+    an id are candidates each, but none of them for that id's own query, which counts once: its shortest
+    vector, the lowest of equals. Components are exact, however large; a score of the result that doesn't
+    fit in a long, and a component over 2^1015, are an OverflowError. Empty table: no rows.
     """
     spark = prepare(vectors.sparkSession)
-    rows = cut(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(_parse, "id long, vector binary, norm double"))
-    n, top = rows.agg(F.count("*"), F.coalesce(F.max("norm"), F.lit(0.0))).first()
-    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // TREE_ROWS)))).alias("tree"), "id", "vector")
-    trees = cut(dealt.repartition(n_parts(spark), "tree").sortWithinPartitions("tree", "id").mapInArrow(_plant(float(top)), "tree binary"))
-    queries = rows.filter(F.col("id") % every == 0).dropDuplicates(["id"]).select("id", "vector")
-    found, block = None, []
-
-    def send() -> DataFrame:
-        return trees.mapInArrow(_search(spark.sparkContext.broadcast(list(block)), k), "query_id long, vec_id long, score long")
-
-    for row in queries.toLocalIterator():
-        block.append((row.id, bytes(row.vector)))
-        if len(block) == QUERY_ROWS:
-            found = send() if found is None else found.union(send())
-            block = []
-    if block or found is None:
-        found = send() if found is None else found.union(send())
+    parts = n_parts(spark)
+    rows = cut(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(_parse, "id long, size int, vector binary, norm double"))
+    asks = F.col("id") % every == 0
+    n, n_queries, top = rows.agg(F.count("*"), F.coalesce(F.sum(asks.cast("long")), F.lit(0)), F.coalesce(F.max("norm"), F.lit(0.0))).first()
+    n_pivots = min(MOST_TREES, max(1, -(-n // TREE_ROWS)))
+    sample = [(r.size, bytes(r.vector)) for r in rows.orderBy(F.md5(F.col("id").cast("string")), "id", "vector").limit(SAMPLE).select(F.col("size"), "vector").collect()] if n else []
+    dealt = rows.mapInArrow(_deal([(a, b) for a, b in sample], n, max(TREE_ROWS, n // MOST_TREES), n_pivots), "tree string, id long, size int, vector binary")
+    trees = cut(dealt.repartition(parts, "tree").sortWithinPartitions("tree", "id", "vector").mapInArrow(_plant(float(top)), "tree string, size int, routing binary, radius double, made binary"))
+    roots = spark.sparkContext.broadcast([(r.tree, r["size"], bytes(r.routing), r.radius) for r in trees.drop("made").collect()])
+    queries = rows.filter(asks).groupBy("id").agg(F.min(F.struct("size", "vector")).alias("v")).select("id", "v.size", "v.vector")
+    blocks = max(1, -(-n_queries // QUERY_ROWS))
+    schema = "tree string, id long, vector binary, least long"
+
+    def search(asked: DataFrame) -> DataFrame:
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+        sent = trees.join(asked.select("tree", "block").distinct(), "tree").select("tree", "block", "made", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("vector"), F.lit(None).cast("long").alias("least"))
+        both = sent.union(asked.select("tree", "block", F.lit(None).cast("binary"), "id", "vector", "least"))
+        both = both.repartition(parts, "tree", "block").sortWithinPartitions("tree", "block", F.col("id").asc_nulls_first())
+        return both.select("made", "id", "vector", "least").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+
+    found = cut(search(queries.withColumn("least", F.lit(None).cast("long")).mapInArrow(_route(roots, float(top), True), schema)))
+    least = found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    rest = queries.join(least, "id", "left").select("id", "size", "vector", "least").mapInArrow(_route(roots, float(top), False), schema)
+    both = found.union(search(cut(rest)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
+    return both.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
