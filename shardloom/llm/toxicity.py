@@ -1,10 +1,12 @@
 """Toxicity by weak supervision.
 
-Voters look for insults, threats, shouting and the like; others use stems that labelled documents
-made stand out, and where a document has a human label, that votes too. A generative label model
-(EM over the votes) estimates how accurate each voter is and how far voters err together, and turns
-votes into posterior labels. A linear classifier over words and stems is trained on these; it alone
-scores texts, so it carries over to documents on which no voter says anything.
+Many voters look for insults, threats, shouting and the like, by lexicons of four languages and by
+patterns; others use stems that labelled documents made stand out; a human label, where there is one,
+is one more voter, of bounded weight. A generative label model (EM over the votes of labelled and
+unlabelled documents) estimates how accurate each voter is and how far voters err together, and turns
+votes into posterior labels: where the voters outweigh a human label, they decide. A linear classifier
+over words and stems is trained on the posteriors; it alone scores texts, so it carries over to
+documents on which no voter says anything.
 """
 
 from __future__ import annotations
@@ -20,25 +22,34 @@ from pyspark.sql import functions as F
 from shardloom.llm.base import cut, held_out, prepare
 from shardloom.llm.textkernel import blocks, bytes_of, stems
 
-#: Labelled documents that the model is fitted on at most: those of the lowest MD5 of their id.
+#: Labelled documents that the model is fitted on at most, and as many without a label: those of the lowest MD5 of their id.
 SAMPLE = 20_000
-#: Words and stems that the classifier has a weight for at most.
-FEATURES = 4096
+#: Words and stems that the classifier has a weight for at most, and those it may choose from.
+FEATURES, CANDIDATES = 4096, 65_536
 #: A feature that fewer documents have isn't learned.
 LEAST = 4
-#: Documents of either label that features are taken from at most.
-PART = 3000
-#: How often a human label is taken to be right.
-TRUST = 0.9999
-#: What all other voters together can say, in nats.
-MOST_NATS = 6.0
-
-NOUNS = "idiot idiots moron morons fool loser losers scum clown trash garbage bastard imbecile jerk freak vermin trottel schwachkopf abschaum versager dummkopf imbécile crétin ordure abruti basura escoria imbécil payaso perdedor"
-ADJECTIVES = "stupid worthless pathetic disgusting dumb ugly filthy useless vile repulsive dämlich wertlos erbärmlich widerlich stupide minable dégoûtant pathétique estúpido inútil patético asqueroso"
+#: What a human label says, and what all other voters together can say at most, in nats.
+HUMAN_NATS, MOST_NATS = 6.0, 9.0
+
+#: What a document without a human label counts for in training.
+UNSAID = 0.1
+
+LEXICON = {
+    "nouns en": "idiot idiots moron morons fool loser losers scum clown trash garbage bastard imbecile jerk freak vermin",
+    "nouns de": "trottel schwachkopf abschaum versager dummkopf",
+    "nouns fr": "imbécile crétin ordure abruti",
+    "nouns es": "basura escoria imbécil payaso perdedor",
+    "adjectives en": "stupid worthless pathetic disgusting dumb ugly filthy useless vile repulsive",
+    "adjectives de": "dämlich wertlos erbärmlich widerlich",
+    "adjectives fr": "stupide minable dégoûtant pathétique",
+    "adjectives es": "estúpido inútil patético asqueroso",
+}
 THREATS = "kill die hang hurt destroy töten sterben tuer mourir matar morir"
-_ADDRESS = re.compile(rf"\b(?:you|this|that|such an?|du|dieser|ce|cette|este|esta)\W+(?:\w+\W+)?(?:{'|'.join((NOUNS + ' ' + ADJECTIVES).split())})\b", re.I)
+_INSULTS = " ".join(LEXICON.values()).split()
+_ADDRESS = re.compile(rf"\b(?:you|this|that|such an?|du|dieser|ce|cette|este|esta)\W+(?:\w+\W+)?(?:{'|'.join(_INSULTS)})\b", re.I)
+_SILENCE = re.compile(r"\b(?:shut up|get lost|go away|halt die klappe|verschwinde|tais-toi|la ferme|cállate|lárgate)\b", re.I)
 _FOLDS = 3
-_VOTERS = ("nouns", "adjectives", "many insults", "address", "threats", "shouting", "no insult")
+_VOTERS = (*LEXICON, "many insults", "address", "threats", "silence", "shouting", "exclaiming", "no insult")
 
 
 def hash_of(word: str, stem: bool = False) -> int:
@@ -50,19 +61,16 @@ def hash_of(word: str, stem: bool = False) -> int:
 def pattern_votes(text: str) -> list[int]:
     """Of each of ``_VOTERS``: 1 toxic, -1 clean, 0 no opinion."""
     words = re.findall(r"\w+", text.lower())
-    nouns, adjectives = _lexicons()
-    n, a = sum(w in nouns for w in words), sum(w in adjectives for w in words)
-    letters = sum(c.isalpha() for c in text)
-    loud = letters > 20 and sum(c.isupper() for c in text) > 0.5 * letters
-    threat = any(w in _THREATS for w in words)
-    return [int(n > 0), int(a > 0), int(n + a > 1), int(bool(n + a) and bool(_ADDRESS.search(text))), int(threat and n + a > 0), int(loud or "!!!" in text), -int(n + a == 0)]
+    found = [sum(w in x for w in words) for x in _LISTS]
+    n = sum(found)
+    letters = sum(map(str.isalpha, text))
+    loud = letters > 20 and sum(map(str.isupper, text)) > 0.5 * letters
+    threat = n > 0 and any(w in _THREATS for w in words)
+    return [*(int(x > 0) for x in found), int(n > 1), int(n > 0 and bool(_ADDRESS.search(text))), int(threat), int(bool(_SILENCE.search(text))), int(loud), int("!!!" in text), -int(n == 0)]
 
 
 _THREATS = frozenset(THREATS.split())
-
-
-def _lexicons(found=(frozenset(NOUNS.split()), frozenset(ADJECTIVES.split()))):
-    return found
+_LISTS = [frozenset(x.split()) for x in LEXICON.values()]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -77,11 +85,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield found
 
 
-def _all_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, features) of rows of label and text."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, toxic documents, documents) of rows of label and text, summed over some rows at a time."""
     for batch in batches:
+        label = np.array(batch.column(0).to_pylist(), np.int64) > 0
         found = next(_features(iter([batch])))
-        yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["label", "features"])
+        step = 2000
+        for k in range(0, len(found), step):
+            flat = np.concatenate(found[k : k + step])
+            rows = np.repeat(label[k : k + step], [len(x) for x in found[k : k + step]])
+            known, at = np.unique(flat, return_inverse=True)
+            toxic, all_ = np.bincount(at, rows, len(known)).astype(np.int64), np.bincount(at, minlength=len(known))
+            yield pa.record_batch([pa.array(known.view(np.int64)), pa.array(toxic), pa.array(all_)], ["feature", "toxic", "n"])
 
 
 def _sampled(candidates: np.ndarray):
@@ -118,60 +133,68 @@ def _has(features: list[np.ndarray], known: np.ndarray) -> np.ndarray:
     return np.array([bool(len(known)) and bool(np.isin(x, known, assume_unique=True).any()) for x in features], bool)
 
 
-def label_model(votes: np.ndarray, trusted: int | None = None, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, human: int | None = None, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of label 1 for each row of votes (-1, 0, 1), each voter's accuracy, and their correlations.
 
-    EM for P(vote | label), starting from the majority, in which near copies of a voter count as one.
-    Voters that agree beyond what the label explains share their say: a voter counts with 1 / (1 + its positive residual correlations with others). The
-    ``trusted`` voter's accuracy is held at ``TRUST``, and its say at 1.
+    EM for P(vote | label). It begins with the majority, in which near copies of a voter count as one,
+    or, if there is a ``human`` voter, with the rows that this one speaks on. Voters that agree beyond
+    what the label explains share their say: a voter counts with 1 / (1 + its positive residual
+    correlations with others). What the human voter says anchors the accuracies of the others. In a
+    posterior it counts ``HUMAN_NATS``, and all others up to ``MOST_NATS``, so they may overrule it.
     """
     n, m = votes.shape
     spread = votes - votes.mean(0)
     scale = np.sqrt((spread**2).mean(0)) + 1e-9
     alike = np.maximum((spread.T @ spread) / max(1, n) / np.outer(scale, scale), 0) ** 4  # near 1 for copies only
-    alone = 1 / np.maximum(1, alike.sum(1))
+    rest = [k for k in range(m) if k != human]
+    alone = 1 / np.maximum(1, alike[:, rest].sum(1))
     say, corr = alone.copy(), np.eye(m)
     p = np.clip(0.5 + 0.5 * (votes * say).sum(1) / np.maximum(1e-9, (np.abs(votes) * say).sum(1)), 0.02, 0.98)
-    if trusted is not None:
-        p = np.where(votes[:, trusted] == 1, TRUST, np.where(votes[:, trusted] == -1, 1 - TRUST, p))
+    weight, spoken = np.ones(n), np.zeros(n, bool)
+    if human is not None and votes[:, human].any():
+        spoken = votes[:, human] != 0
+        anchor = 1 / (1 + np.exp(-HUMAN_NATS * votes[:, human]))
+        weight = spoken.astype(float)  # in the first round
     for turn in range(rounds):
-        prior = np.clip(p.mean(), 0.01, 0.5)
-        table = np.stack([[((votes == v) * y[:, None]).sum(0) + 0.5 for v in (-1, 0, 1)] for y in (1 - p, p)])  # label, vote, voter
+        if spoken.any():  # accuracies are measured against human labels where there are some
+            p = np.where(spoken, anchor, p)
+        prior = np.clip((p * weight).sum() / weight.sum(), 0.01, 0.5)
+        table = np.stack([[((votes == v) * (y * weight)[:, None]).sum(0) + 0.5 for v in (-1, 0, 1)] for y in (1 - p, p)])  # label, vote, voter
         table /= table.sum(1, keepdims=True)
-        if trusted is not None:
-            table[:, :, trusted] = [[TRUST, 0.5, 1 - TRUST], [1 - TRUST, 0.5, TRUST]]
         if turn % 5 == 4:
             expect = np.outer(1 - p, table[0, 2] - table[0, 0]) + np.outer(p, table[1, 2] - table[1, 0])
-            rest = votes - expect
-            scale = np.sqrt((rest**2).mean(0)) + 1e-9
-            corr = (rest.T @ rest) / n / np.outer(scale, scale)
-            say = np.minimum(alone, 1 / (1 + np.maximum(corr - np.eye(m), 0).sum(1).clip(0)))
-            if trusted is not None:
-                say[trusted] = 1
+            off = votes - expect
+            scale = np.sqrt((off**2).mean(0)) + 1e-9
+            corr = (off.T @ off) / n / np.outer(scale, scale)
+            say = np.minimum(alone, 1 / (1 + np.maximum(corr - np.eye(m), 0)[:, rest].sum(1).clip(0)))
         logs = np.log(table[1]) - np.log(table[0])
         each = logs[votes + 1, np.arange(m)] * say
-        if trusted is None:
-            score = each.sum(1)
-        else:  # the rest, however many they are, can't outvote it
-            score = (each.sum(1) - each[:, trusted]).clip(-MOST_NATS, MOST_NATS) + each[:, trusted]
-        score = score + np.log(prior / (1 - prior))
-        p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        score = each[:, rest].sum(1).clip(-MOST_NATS, MOST_NATS)
+        if human is not None:
+            score = score + votes[:, human] * HUMAN_NATS
+        p = 1 / (1 + np.exp(-np.clip(score + np.log(prior / (1 - prior)), -30, 30)))
+        weight = np.ones(n)
     right = ((votes == 1) * p[:, None] + (votes == -1) * (1 - p)[:, None]).sum(0) / np.maximum(1, (votes != 0).sum(0))
     return p, right, corr
 
 
-def train_linear(features: list[np.ndarray], target: np.ndarray, known: np.ndarray, prior: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights of the features ``known`` (sorted) and a bias, by logistic regression on soft labels, drawn towards ``prior``."""
+def train_linear(features: list[np.ndarray], target: np.ndarray, known: np.ndarray, prior: np.ndarray, counts: np.ndarray | None = None, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Weights of the features ``known`` (sorted) and a bias, by logistic regression on soft labels, drawn towards ``prior``.
+
+    A row counts as ``counts`` says, by default 1.
+    """
     weight, bias = prior.copy(), -3.0
     if not features:
         return weight, bias
     place = [np.searchsorted(known, x[np.isin(x, known, assume_unique=True)]) for x in features]
+    counts = np.ones(len(place)) if counts is None else counts
+    counts = counts / counts.sum()
     rows, cols = np.repeat(np.arange(len(place)), [len(x) for x in place]), np.concatenate(place).astype(np.int64)
     m = np.zeros((2, len(known) + 1))
     v = np.zeros((2, len(known) + 1))
     for turn in range(1, rounds + 1):
         score = bias + np.bincount(rows, weight[cols], len(place))
-        wrong = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - target) / len(place)
+        wrong = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - target) * counts
         slope = np.append(np.bincount(cols, wrong[rows], len(known)) + 1e-4 * (weight - prior), wrong.sum())
         m[0] = 0.9 * m[0] + 0.1 * slope
         v[0] = 0.999 * v[0] + 0.001 * slope**2
@@ -180,81 +203,59 @@ def train_linear(features: list[np.ndarray], target: np.ndarray, known: np.ndarr
     return weight, float(bias)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features that toxic documents have more often, of rows of label and features; sorted hashes, in one row.
-
-    ``PART`` documents of either label at most are looked at, in one task; what it finds is judged by
-    the whole sample later.
-    """
-    known = [np.zeros(0, np.uint64)] * 2
-    times, n, waiting = [np.zeros(0, np.int64)] * 2, [0, 0], ([], [])
-
-    def add(k: int) -> None:
-        new, count = np.unique(np.concatenate(waiting[k]), return_counts=True)
-        both = np.union1d(known[k], new)
-        sums = np.zeros(len(both), np.int64)
-        sums[np.searchsorted(both, known[k])] += times[k]
-        sums[np.searchsorted(both, new)] += count
-        known[k], times[k] = both, sums
-        waiting[k].clear()
-
-    for batch in batches:
-        for label, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            k = int(label > 0)
-            n[k] += 1
-            waiting[k].append(np.frombuffer(found.as_buffer(), np.uint64))
-            if len(waiting[k]) == 250:
-                add(k)
-    for k in (0, 1):
-        if waiting[k]:
-            add(k)
-    often = times[1] >= LEAST
-    hashes, toxic = known[1][often], times[1][often]
-    clean = np.zeros(len(hashes), np.int64)
-    if len(known[0]):
-        at = np.searchsorted(known[0], hashes).clip(0, len(known[0]) - 1)
-        clean = np.where(known[0][at] == hashes, times[0][at], 0)
-    odds = np.log((toxic + 0.5) / (n[1] + 1)) - np.log((clean + 0.5) / (n[0] + 1))
-    yield pa.record_batch([pa.array([hashes[odds > 1.0].tobytes()], pa.binary())], ["features"])
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> dict:
-    """The classifier (hashes, weights, bias) and what the label model found (accuracies, correlations).
+    """The classifier (hashes, weights, bias) and what the label model found.
 
-    Only rows of ``labels`` that are not held out are read, and at most ``sample`` of them. Null labels
-    and ids are left out; an id with several labels counts as toxic if one says so. Without labelled
-    rows, the built-in word lists are the classifier.
+    That is each voter's accuracy, their correlations, and ``overruled``: the share of human labels whose
+    posterior is on the other side. Only rows of ``labels`` that are not held out are read, and at most
+    ``sample`` of them; as many documents without a label, none of them held out, take part in the votes.
+    Null labels and ids are left out; an id with several labels counts as toxic if one says so. Without
+    labelled rows, the built-in word lists are the classifier.
     """
     prepare(docs.sparkSession)
-    words = [hash_of(w) for w in (NOUNS + " " + ADJECTIVES).split()]
-    chosen = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null")
-    chosen = chosen.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
-    chosen = chosen.orderBy(F.md5(F.col("id").cast("string")), "id").limit(sample)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    words = [hash_of(w) for w in _INSULTS]
+    by_hash = [F.md5(F.col("id").cast("string")), F.col("id")]
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null")
+    chosen = known.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label")).orderBy(*by_hash).limit(sample)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    others = texts.select("id").filter(~held_out(F.col("id"))).join(known.select("id").distinct(), "id", "left_anti").distinct().orderBy(*by_hash).limit(sample)
+    chosen = chosen.union(others.select("id", F.lit(None).cast("int")))
     sampled = cut(texts.join(F.broadcast(chosen), "id").select("id", "label", "text"))
     listed = np.unique(np.array(words, np.uint64))
-    by_hash = [F.md5(F.col("id").cast("string")), F.col("id")]
-    part = sampled.filter("label > 0").orderBy(*by_hash).limit(PART).union(sampled.filter("label <= 0").orderBy(*by_hash).limit(PART))
-    found = part.select("label", "text").mapInArrow(_all_features, "label int, features binary").coalesce(1).mapInArrow(_candidates, "features binary").collect()
-    candidates = np.union1d(np.frombuffer(found[0].features, np.uint64), listed)
+    labelled = sampled.filter("label is not null").select("label", "text")
+    n_toxic, n = labelled.agg(F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0)), F.count("*")).first()
+    # Features that toxic documents have more often, over all labelled documents of the sample.
+    counts = labelled.mapInArrow(_counted, "feature long, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("n") - F.col("toxic") + 0.5) / (n - n_toxic + 1))
+    telling_ = counts.filter(F.col("toxic") >= LEAST).withColumn("odds", odds).filter("odds > 1").orderBy((F.col("odds") * F.sqrt("toxic")).desc(), "feature").limit(CANDIDATES)
+    candidates = np.union1d(np.array([r.feature for r in telling_.select("feature").collect()], np.int64).view(np.uint64), listed)
     rows = sampled.mapInArrow(_sampled(candidates), "id long, label int, votes binary, features binary")
-    rows = sorted(rows.collect(), key=lambda r: (r.id, r.features))[:sample]
+    rows = sorted(rows.collect(), key=lambda r: (r.id, r.features))[: 2 * sample]
     features = [np.frombuffer(r.features, np.int32) for r in rows]
-    human = np.array([1 if r.label > 0 else -1 for r in rows], np.int64)
-    report: dict = {"voters": [*_VOTERS, *(f"stems {k}" for k in range(_FOLDS)), "human"]}
+    human = np.array([0 if r.label is None else 1 if r.label > 0 else -1 for r in rows], np.int64)
+    report: dict = {"voters": [*_VOTERS, *(f"stems {k}" for k in range(_FOLDS)), "human"], "n": len(rows), "overruled": 0.0}
     target = np.zeros(0)
-    if rows:
+    if human.any():
         votes = np.array([list(r.votes) for r in rows], np.int64) - 1
         induced = []
+        spoken = np.flatnonzero(human)
         for k in range(_FOLDS):  # each from a part of the labelled rows
-            part = [i for i in range(len(rows)) if i % _FOLDS == k]
+            part = spoken[k::_FOLDS]
             has = _has(features, telling([features[i] for i in part], (human[part] > 0).astype(float), most=512))
             induced.append(np.where(has, 1, -1))
-        target, report["accuracy"], report["correlation"] = label_model(np.column_stack([votes, *induced, human]), trusted=-1)
-    known = np.union1d(telling(features, target), np.searchsorted(candidates, listed))
-    prior = np.where(np.isin(candidates[known], listed), 4.0, 0.0)
-    weight, bias = train_linear(features, target, known, prior)
-    return report | {"hashes": candidates[known], "weights": weight, "bias": bias, "posterior": target, "n": len(rows)}
+        target, report["accuracy"], report["correlation"] = label_model(np.column_stack([votes, *induced, human]), human=len(_VOTERS) + _FOLDS)
+        report["overruled"] = float(((target > 0.5) != (human > 0))[spoken].mean())
+    else:
+        features = []
+    spoken = np.flatnonzero(human) if len(target) else np.zeros(0, np.int64)
+    found = [telling([features[i] for i in part], target[part]) for part in (spoken, np.arange(len(target)))]
+    known_features = np.union1d(np.union1d(*found), np.searchsorted(candidates, listed))
+    prior = np.where(np.isin(candidates[known_features], listed), 4.0, 0.0)
+    if len(target):
+        weight, bias = train_linear(features, target, known_features, prior, np.where(human == 0, UNSAID, 1.0))
+    else:
+        weight, bias = train_linear([], target, known_features, prior)
+    return report | {"hashes": candidates[known_features], "weights": weight, "bias": bias, "posterior": target, "human": human}
 
 
 def _scorer(hashes: np.ndarray, weights: np.ndarray, bias: float):

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -79,3 +80,53 @@ def test_label_model_finds_good_and_copied_voters():
 def test_shouting_counts_the_whole_text():
     calm = "a " * 60_000
     assert toxicity.pattern_votes(calm + "B " * 300_000) != toxicity.pattern_votes(calm + "b " * 300_000)
+
+
+def plain_model(votes, human, rounds):
+    """The label model, row by row and voter by voter; without residual correlations, which come after four rounds."""
+    n, m = len(votes), len(votes[0])
+    mean = [sum(r[j] for r in votes) / n for j in range(m)]
+    cov = lambda j, k: sum((r[j] - mean[j]) * (r[k] - mean[k]) for r in votes) / n
+    dev = [cov(j, j) ** 0.5 + 1e-9 for j in range(m)]
+    rest = [j for j in range(m) if j != human]
+    say = [1 / max(1, sum(max(cov(j, k) / dev[j] / dev[k], 0) ** 4 for k in rest)) for j in range(m)]
+    p, weight = [0.0] * n, [float(r[human] != 0) for r in votes]
+    for _ in range(rounds):
+        p = [1 / (1 + math.exp(-toxicity.HUMAN_NATS * r[human])) if r[human] else x for r, x in zip(votes, p)]
+        prior = min(0.5, max(0.01, sum(x * w for x, w in zip(p, weight)) / sum(weight)))
+        logs = []
+        for j in range(m):
+            toxic = {v: 0.5 + sum(x * w for r, x, w in zip(votes, p, weight) if r[j] == v) for v in (-1, 0, 1)}
+            clean = {v: 0.5 + sum((1 - x) * w for r, x, w in zip(votes, p, weight) if r[j] == v) for v in (-1, 0, 1)}
+            logs.append({v: math.log(toxic[v] / sum(toxic.values())) - math.log(clean[v] / sum(clean.values())) for v in (-1, 0, 1)})
+        p = []
+        for r in votes:
+            score = sum(logs[j][r[j]] * say[j] for j in rest)
+            score = max(-toxicity.MOST_NATS, min(toxicity.MOST_NATS, score)) + toxicity.HUMAN_NATS * r[human] + math.log(prior / (1 - prior))
+            p.append(1 / (1 + math.exp(-score)))
+        weight = [1.0] * n
+    return p
+
+
+def noisy_votes(n=400):
+    rng = np.random.default_rng(5)
+    y = rng.random(n) < 0.25
+    cols = [np.where(rng.random(n) < 0.7, np.where(rng.random(n) < right, y, ~y) * 2 - 1, 0) for right in (0.9, 0.92, 0.85, 0.9, 0.95, 0.9, 0.93, 0.88, 0.9, 0.92, 0.95, 0.9)]
+    human = np.where(rng.random(n) < 0.6, np.where(rng.random(n) < 0.97, y, ~y) * 2 - 1, 0)
+    return y, np.column_stack([*cols, human])
+
+
+def test_label_model_against_plain_em():
+    _, votes = noisy_votes()
+    got = toxicity.label_model(votes, human=12, rounds=4)[0]
+    assert np.allclose(got, plain_model(votes.tolist(), 12, 4))
+
+
+def test_voters_overrule_wrong_human_labels():
+    y, votes = noisy_votes(4000)
+    p = toxicity.label_model(votes, human=12)[0]
+    spoken = votes[:, 12] != 0
+    wrong = spoken & ((votes[:, 12] > 0) != y)
+    turned = spoken & ((p > 0.5) != (votes[:, 12] > 0))
+    assert turned[wrong].mean() > 0.3 and turned[spoken & ~wrong].mean() < 0.02
+    assert ((p > 0.5) == y)[~spoken].mean() > 0.9
