@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from operator import neg
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ LENGTHS = (512, 1024, 2048, 4096)
 PACKER_ROWS = 20_000
 #: A bin that is filled less is packed again.
 LOOSE = 0.95
+#: What a bin costs besides its padding, in words; pieces that are tried when a bin's padding is estimated.
+BIN_COST, LOOK = 1.0, 32
 _COLUMNS = ["packer", "bin", "capacity", "offset", "id", "nth", "part", "start", "size"]
 _SCHEMA = "packer long, bin long, capacity int, offset int, id long, nth int, part int, start long, size int"
 
@@ -49,27 +52,35 @@ class _Open:
         return bin_
 
 
+def padding(room: int, sizes: list[int], at: int) -> int:
+    """Words that stay free of ``room`` when the pieces from ``at`` on, which fall, are put in as long as one fits.
+
+    After ``LOOK`` pieces, the rest of the room counts as filled as far as the pieces left can fill it.
+    """
+    for _ in range(LOOK):
+        at = bisect_left(sizes, -room, at, key=neg)
+        if not room or at == len(sizes) or not sizes[at]:
+            return room
+        room -= sizes[at]
+        at += 1
+    return max(0, room - sum(sizes[at : at + room]))
+
+
 def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
     """Bin and offset of each piece, and each bin's length. ``sizes`` fall; none is over the last length.
 
-    A new bin's length is the one whose expected waste is least: a bin of length L for a piece of size s
-    leaves L - s, of which the pieces still to come fill what they can: all that is left if they are that
-    many and small enough, by their sum; a length that just fits wastes L - s for certain.
+    A piece goes to the open bin that it fills best. If none takes it, a bin of the length of least cost
+    opens: that is what a word of content costs, in words of padding and in ``BIN_COST`` for the bin, if
+    the pieces still to come fill it from long to short. Of equal costs, the shorter length.
     """
     open_, content, limit, at, offset = _Open(lengths[-1]), [], [], [], []
-    rest = sum(sizes)
-    smallest = sizes[-1] if sizes else 0
-    for size in sizes:
-        rest -= size
+    for nth, size in enumerate(sizes):
         room = open_.best(size)
         if room is None:
             costs = []
             for length in lengths[bisect_left(lengths, size) :]:
-                left = length - size
-                usable = left >= smallest and rest >= left
-                # cost: words of padding a word of content
-                waste = left % max(1, smallest) / 2 if usable else max(0, left - rest) if left >= smallest else left
-                costs.append((waste / max(1, length - waste), length))
+                waste = padding(length - size, sizes, nth + 1)
+                costs.append(((waste + BIN_COST) / max(1, length - waste), length))
             room = min(costs)[1]
             bin_ = len(content)
             content.append(0)

@@ -52,15 +52,45 @@ def test_reruns_agree(spark):
     assert one == two
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 64), max_size=60))
-def test_best_fit(sizes):
-    """Each piece is in the bin that it fills best, of those there are; a new one opens only if none takes it."""
+def plain(sizes, lengths):
+    """Best fit by looking at all bins, and all pieces left, each time."""
+    rooms, limit, at = [], [], []
+    for nth, size in enumerate(sizes):
+        fits = [(room, -last, b) for b, (room, last) in enumerate(rooms) if room >= size]
+        if fits:
+            b = min(fits)[2]
+        else:
+            costs = []
+            for length in lengths:
+                if length >= size:
+                    left = length - size
+                    for piece in sizes[nth + 1 :]:
+                        left -= piece if piece <= left else 0
+                    costs.append(((left + packing.BIN_COST) / max(1, length - left), length))
+            b = len(rooms)
+            rooms.append((min(costs)[1], 0))
+        rooms[b] = (rooms[b][0] - size, nth)
+        at.append(b)
+    return at
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 64), max_size=30))
+def test_best_fit_against_all_bins(sizes):
     lengths = (8, 16, 32, 64)
     sizes = sorted(sizes, reverse=True)
     at, offset, limit = packing.pack(sizes, lengths)
+    assert at == plain(sizes, lengths)
     content = defaultdict(int)
     for size, b, o in zip(sizes, at, offset, strict=True):
         assert o == content[b]
         content[b] += size
     assert all(limit[b] == min(n for n in lengths if n >= c) for b, c in content.items())
+
+
+def test_lengths_are_compared_also_with_pieces_of_no_words():
+    sizes = [300] * 4 + [212] * 4 + [1, 0]
+    # 300 + 212 fill 512 words without padding, and so do four of each 2,048, at less cost a word.
+    assert sorted(packing.pack(sizes)[2]) == [512, 2048]
+    assert packing.pack([300, 212], (512, 4096))[2] == [512]
+    assert packing.padding(724, [300, 300, 212, 212, 1], 0) == 123
