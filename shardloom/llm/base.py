@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardloom.session import ship
@@ -16,12 +16,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 def prepare(spark: SparkSession) -> SparkSession:
     """Makes the session fit for these operators: a checkpoint folder, and workers that can import them.
 
-    The checkpoint folder is the session's own (``spark.checkpoint.dir``). Only where that is unset,
-    as in tests on one machine, a temporary one takes its place.
+    The checkpoint folder is the session's own (``spark.checkpoint.dir``). Where that is unset, a
+    temporary one takes its place on a single machine, as in tests; on a cluster it is an error, as
+    executors and driver share no such folder.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shardloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="shardloom-")
+        sc.setCheckpointDir(folder)
     return ship(spark)
 
 
@@ -59,3 +65,12 @@ def n_words(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of documents that no model may learn labels from; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def nth_of(keys: list[str], repeated: Column, columns: list[Column]) -> Column:
+    """The place of a row among those with its ``keys``, from 1, by its ``columns`` as text; 1 where it isn't ``repeated``.
+
+    So the same row is first whatever the partitions, and rows that tie don't differ at all.
+    """
+    order = F.when(repeated, F.to_json(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(columns)])))
+    return F.when(repeated, F.row_number().over(Window.partitionBy(*keys).orderBy(order))).otherwise(1)

@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.base import n_parts, prepare
+from shardloom.llm.base import n_parts, nth_of, prepare, unused
 from shardloom.llm.radix import MAX_BYTES, RadixTrie
 
 #: A first trie is given out and begun anew at so many bytes.
@@ -116,12 +116,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns as they are."""
+    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns as they are.
+
+    Of repeated rows (same id and text) with other columns that differ, the first by these as text stays.
+    """
+    *keys, times, nth = unused(docs, "id", "no_id", "sha", "times", "nth")
+
+    def keyed(doc: Column, sha: Column) -> list[Column]:
+        return [x.alias(key) for x, key in zip((F.coalesce(doc.cast("long"), F.lit(0)), doc.isNull(), sha), keys, strict=True)]
+
     groups = exact_groups(docs, id_col, text_col, keep)
-    kept = groups.filter("kept").select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__sha"), (F.col("group_size") > 1).alias("__shared"))
-    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    rows = docs.withColumn("__of", sha)
-    rows = rows.join(kept.hint("shuffle_hash"), rows[id_col].cast("long").eqNullSafe(kept["__id"]) & (rows["__of"] == kept["__sha"]))
-    # Only repeated rows of a kept id are left to tell apart.
-    first = F.row_number().over(Window.partitionBy("__id", "__of").orderBy(F.lit(1)))
-    return rows.withColumn("__nth", F.when(F.col("__shared"), first).otherwise(1)).filter("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    groups = groups.groupBy(*keyed(F.col(id_col), F.unhex("text_sha256"))).agg(F.max("kept").alias("kept"), F.count("*").alias(times))
+    rows = docs.select("*", *keyed(F.col(id_col), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))))
+    rows = rows.join(groups.filter("kept").drop("kept"), keys)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # Rows meet by the same keys in join and window, so they move once.
+    return rows.withColumn(nth, nth_of(keys, F.col(times) > 1, columns)).filter(F.col(nth) == 1).select(*columns)

@@ -13,10 +13,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardloom.llm.base import cut, hex_fraction, n_parts, n_words, prepare
+from shardloom.llm.base import cut, hex_fraction, n_parts, n_words, nth_of, prepare, unused
 
 #: Documents of a bucket, and open documents that a node of the tree combines.
 BUCKET_ROWS = 4096
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null text counts as empty, and an empty text's fraction is drawn alone. Null source: one more
     source, the last. Null id: like any other. Repeated rows: each is drawn, and which of them is taken
-    is left open. Empty table, or no words at all: all targets are 0.
+    is left open, as they don't differ. Empty table, or no words at all: all targets are 0.
     """
     spark = prepare(docs.sparkSession)
     parts = n_parts(spark)
@@ -114,8 +114,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = cut(sources.withColumn("each", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
     # A source is named by its number from here on.
     known = sources.select(F.col("source").alias("s"), "src", "source_size", "target", "each", F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))
-    rows = rows.join(known, F.col("source").eqNullSafe(F.col("s")))
-    name = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), "size")
+    # Rows of one id, source and size are alike, but for their number: so they go to buckets of their own.
+    alike = rows.groupBy("id", "source", "size").agg(F.count("*").alias("times"))
+    rows = alike.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).join(known, F.col("source").eqNullSafe(F.col("s")))
+    name = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), "size", "nth")
     whole = F.floor(F.col("each") + _EPS)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(name), F.col("buckets")))
     drawn = rows.select("src", "bucket", F.col("bucket").alias("origin"), "id", "size", F.greatest(F.col("each") - whole, F.lit(0.0)).alias("p"), hex_fraction(F.concat(name, F.lit("|0"))).alias("u"))
@@ -144,11 +146,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def take(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as :func:`mix` takes it, with its columns as they are.
 
-    Rows that repeat an id share its copies as evenly as can be.
+    Rows that repeat an id share its copies as evenly as can be; the first by their columns, as text, get
+    what is left over.
     """
-    taken = mix(docs, id_col, **how).groupBy(F.col(id_col).alias("__id")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    rows = docs.join(taken.filter("__copies > 0").hint("shuffle_hash"), docs[id_col].cast("long").eqNullSafe(F.col("__id")))
-    nth = F.when(F.col("__rows") > 1, F.row_number().over(Window.partitionBy("__id").orderBy(F.lit(1)))).otherwise(1)
-    rows = rows.withColumn("__nth", nth)
-    own = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__nth") <= F.col("__copies") % F.col("__rows")).cast("long")
-    return rows.withColumn("__each", F.explode(F.array_repeat(F.lit(1), own.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    doc, no_id, copies, rows_, each = unused(docs, "id", "no_id", "copies", "rows", "each")
+    keys = [doc, no_id]
+
+    def keyed(x: Column) -> list[Column]:
+        return [F.coalesce(x.cast("long"), F.lit(0)).alias(doc), x.isNull().alias(no_id)]
+
+    taken = mix(docs, id_col, **how).groupBy(*keyed(F.col(id_col))).agg(F.sum("copies").alias(copies), F.count("*").alias(rows_))
+    rows = docs.select("*", *keyed(F.col(id_col))).join(taken.filter(F.col(copies) > 0), keys)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    nth = nth_of(keys, F.col(rows_) > 1, columns)
+    rows = rows.withColumn(each, F.floor(F.col(copies) / F.col(rows_)) + (nth <= F.col(copies) % F.col(rows_)).cast("long"))
+    return rows.withColumn(each, F.explode(F.array_repeat(F.lit(1), F.col(each).cast("int")))).select(*columns)

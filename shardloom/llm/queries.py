@@ -22,7 +22,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.place(_table(spark, sf_dir, "documents"), "doc_id")
-    return placed.select("doc_id", F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
+    return placed.select("doc_id", F.col(placed.columns[-2]).alias("slot"), F.col(placed.columns[-1]).alias("shard"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

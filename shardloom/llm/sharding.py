@@ -13,6 +13,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardloom.llm.base import unused
+
 SHARDS = 32
 SLOTS = 4099
 
@@ -48,15 +50,14 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(df: DataFrame, key_col: str, shards: list[str] | int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Adds __slot (int) and __shard (string) to each row of ``df``.
+    """Adds two columns to each row of ``df``: slot (int) and shard (string).
 
-    Null key: placed like an empty text. Rows with equal keys are placed alike. Empty table: no rows.
-    Columns of ``df`` named __slot or __shard are an error.
+    Where ``df`` has a column of such a name, the new one's begins with an underscore, or several. Null
+    key: placed like an empty text. Rows with equal keys are placed alike. Empty table: no rows.
     """
-    if {"__slot", "__shard"} & set(df.columns):
-        raise ValueError("__slot and __shard are taken")
+    slot, shard = unused(df, "slot", "shard")
     names = [f"shard-{k:04d}" for k in range(shards)] if isinstance(shards, int) else list(shards)
     table = ",".join(map(str, fill(names, slots)))
-    lookup = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(table), ",")).alias("__slot", "__k"))
-    lookup = lookup.select("__slot", F.element_at(F.array(*map(F.lit, names)), F.col("__k").cast("int") + 1).alias("__shard"))
-    return df.withColumn("__slot", slot_of(F.col(key_col), slots)).join(F.broadcast(lookup), "__slot").select(*[F.col(f"`{c}`") for c in df.columns], "__slot", "__shard")
+    lookup = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(table), ",")).alias(slot, "k"))
+    lookup = lookup.select(slot, F.element_at(F.array(*map(F.lit, names)), F.col("k").cast("int") + 1).alias(shard))
+    return df.withColumn(slot, slot_of(F.col(f"`{key_col}`"), slots)).join(F.broadcast(lookup), slot).select(*[F.col(f"`{c}`") for c in df.columns], slot, shard)

@@ -4,7 +4,9 @@ import random
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, size long, node string, token string"
+#: Columns beyond those of documents, with names that operators might use inside.
+CLASHING = ("id", "size", "node", "token", "sha", "bytes", "copies", "times", "kept", "nth", "no_id", "rows", "each", "gone", "slot", "shard", "score", "bin", "root", "block", "__id", "__of", "__nth", "__sha", "__copies", "__rows", "__each", "__gone", "__slot", "__shard")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
 def words(text):
@@ -17,8 +19,7 @@ def prose(seed, n):
 
 
 def row(doc_id, text, source="s"):
-    """Columns beyond those of documents have names that operators use inside."""
-    return (doc_id, text, "en", source, None if text is None else len(text), 1, 2, "x", "y")
+    return (doc_id, text, "en", source, None if text is None else len(text), *(f"{c} of {doc_id}" for c in CLASHING))
 
 
 def texts():

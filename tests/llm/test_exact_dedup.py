@@ -42,6 +42,12 @@ def test_drop_copies_keeps_one_row_of_each_text(spark):
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(x[0]) for x in expected(edge.texts()) if x[3])
 
 
+def test_rows_that_tie_are_chosen_by_their_columns(spark):
+    rows = [(*edge.row(5, "twice")[:-1], f"v{k}") for k in range(6)] + [(*edge.row(None, "x")[:-1], f"w{k}") for k in range(3)]
+    one, two = (sorted(map(str, drop_copies(edge.frame(spark, r).repartition(n), keep="largest").collect())) for n, r in ((2, rows), (5, rows[::-1])))
+    assert one == two and len(one) == 2 and "v0" in one[0] + one[1] and "w0" in one[0] + one[1]
+
+
 def test_empty(spark):
     assert exact_groups(edge.empty(spark)).collect() == []
     assert drop_copies(edge.empty(spark)).collect() == []

@@ -61,6 +61,12 @@ def test_take_repeats_rows(spark):
     assert counts == {r["doc_id"]: r["sum(copies)"] for r in copies if r["sum(copies)"]}
 
 
+def test_take_gives_the_same_rows_each_time(spark):
+    rows = corpus() + [(*edge.row(3, edge.prose(3, 26), "s3")[:-1], f"v{k}") for k in range(5)]
+    one, two = (sorted(map(str, mixing.take(edge.frame(spark, r).repartition(n)).collect())) for n, r in ((2, rows), (7, rows[::-1])))
+    assert one == two
+
+
 def test_empty_and_wordless(spark):
     assert mixing.mix(edge.empty(spark)).collect() == []
     got = mixing.mix(edge.frame(spark, [edge.row(1, None), edge.row(2, " ")])).collect()

@@ -22,12 +22,13 @@ def test_rows_are_placed_by_key(spark):
     rows = [edge.row(i, "t") for i in range(2000)] + edge.texts()
     got = sharding.place(edge.frame(spark, rows), "doc_id", 8, 1009)
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.columns[:-2] == edge.frame(spark).columns and len(set(map(str.lower, got.columns))) == len(got.columns)
     out = got.collect()
     assert len(out) == len(rows)
     by_key = {}
     for r in out:
-        assert by_key.setdefault(r.doc_id, r["__shard"]) == r["__shard"]
-    n = Counter(r["__shard"] for r in out)
+        assert by_key.setdefault(r.doc_id, r[-1]) == r[-1]
+    n = Counter(r[-1] for r in out)
     assert len(n) == 8 and max(n.values()) < 1.4 * min(n.values())
     assert sharding.place(edge.empty(spark), "doc_id").collect() == []
 
