@@ -4,7 +4,8 @@ Four pieces of evidence: the likelihood of the visible text under byte-trigram m
 language, the language that the markup declares, the suffix of the address, and what is known of the
 host. The models come from labelled documents; how far declarations and suffixes can be trusted, and
 the priors of hosts, come from all pages by grouped aggregation. A host's prior is smoothed towards
-its domain's, that towards its suffix's, and that towards the prior of all pages.
+its domain's, and that towards the prior of all pages; the suffix is a factor of its own. What a page's
+own text has added to such sums is taken off before they are used for it, so no text counts twice.
 """
 
 from __future__ import annotations
@@ -83,10 +84,48 @@ def fit_text(docs: DataFrame, langs: tuple[str, ...], text_col: str = "text", la
     return np.log(total / total.sum(1, keepdims=True)).astype(np.float32)
 
 
-def visible(html: Column) -> Column:
-    """The text of a page: no scripts, styles, comments, tags or entities. Null counts as empty."""
-    html = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    return F.regexp_replace(html, r"(?s)<[^>]*>|&#?\w{1,30};", " ")
+def _blank(data: np.ndarray, low: np.ndarray, first: bytes, last: bytes, own: bool = True) -> None:
+    """Blanks what lies from each ``first`` to the next ``last``, and that too if it is its ``own``; a ``first`` without one stays."""
+    begins, ends = _places(low, first), _places(low, last)
+    if not len(begins) or not len(ends):
+        return
+    at = np.searchsorted(ends, begins + len(first))
+    begins, at = begins[at < len(ends)], at[at < len(ends)]
+    change = np.zeros(len(data) + 1, np.int64)
+    np.add.at(change, begins, 1)
+    np.add.at(change, ends[at] + (len(last) if own else 0), -1)
+    inside = np.cumsum(change[:-1]) > 0
+    data[inside] = low[inside] = 32
+
+
+def _places(low: np.ndarray, what: bytes) -> np.ndarray:
+    n = len(low) - len(what) + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    found = np.flatnonzero(low[:n] == what[0])
+    for k, c in enumerate(what[1:], 1):
+        found = found[low[found + k] == c]
+    return found
+
+
+def visible(html: bytes) -> bytes:
+    """The text of a page: no comments, scripts, styles, tags or entities; each leaves blanks. In time of its length.
+
+    A comment, script, style or tag that doesn't end stays.
+    """
+    data = np.frombuffer(html, np.uint8).copy()
+    low = data.copy()
+    upper = (low >= 65) & (low <= 90)
+    low[upper] += 32
+    _blank(data, low, b"<!--", b"-->")
+    for tag in (b"script", b"style"):
+        _blank(data, low, b"<" + tag, b"</" + tag, own=False)
+    _blank(data, low, b"<", b">")
+    for first in _places(low, b"&").tolist():
+        end = html.find(b";", first, first + 34)
+        if end > first + 1 and html[first + 1 : end].lstrip(b"#").isalnum():
+            data[first : end + 1] = 32
+    return data.tobytes()
 
 
 def declared(html: Column) -> Column:
@@ -106,7 +145,8 @@ def _likelihood(table, n_langs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = table.value
         for batch in batches:
-            data, bounds = bytes_of(batch.column(4))
+            texts = pa.array([visible(x.as_buffer().to_pybytes()) if x.is_valid else b"" for x in batch.column(4)], pa.large_binary())
+            data, bounds = bytes_of(texts)
             out = np.zeros((batch.num_rows, n_langs))
             for first, last in blocks(bounds):
                 cell, of = _trigrams(data, bounds[first : last + 1])
@@ -138,7 +178,7 @@ def identify(pages: DataFrame, docs: DataFrame, langs: tuple[str, ...] | None =
             raise ValueError("too many languages")
         langs = tuple(sorted(r[0] for r in found))
     at = host(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("id"), declared(F.col(html_col)).alias("declared"), F.regexp_extract(at, r"\.([a-z][a-z0-9\-]*)$", 1).alias("suffix"), at.alias("host"), visible(F.col(html_col)).alias("text"))
+    rows = pages.select(F.col(id_col).alias("id"), declared(F.col(html_col)).alias("declared"), F.regexp_extract(at, r"\.([a-z][a-z0-9\-]*)$", 1).alias("suffix"), at.alias("host"), F.col(html_col).cast("binary").alias("html"))
     if not langs:
         return rows.select(F.col("id").alias(id_col), F.lit(UNKNOWN).alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit(UNKNOWN).alias("text_lang"), "declared", "suffix", "host")
     table = spark.sparkContext.broadcast(fit_text(docs, langs, text_col, lang_col))
@@ -154,35 +194,33 @@ def identify(pages: DataFrame, docs: DataFrame, langs: tuple[str, ...] | None =
     soft = over_total([F.exp(F.col("logs")[k]) for k in every])
     rows = rows.select("*", *[x.alias(f"t{k}") for k, x in zip(every, soft, strict=True)])
     rows = rows.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1))
-    sums = [F.sum(f"t{k}").alias(f"n{k}") for k in every]
     all_ = rows.agg(*[F.coalesce(F.sum(f"t{k}"), F.lit(0.0)) for k in every], F.count("*")).first()
-    base = [(all_[k] + 1) / (all_[len(langs)] + len(langs)) for k in every]
-
-    def level(name: str, above: str | None) -> DataFrame:
-        """Smoothed shares p0, p1 ... for each value of a level; hosts keep the names of the levels above."""
-        keys = {"suffix": ["suffix"], "domain": ["domain", "suffix"], "host": ["host", "domain", "suffix"]}[name]
-        counts = rows.filter(F.col(name) != "").groupBy(*keys).agg(*sums)
-        prior = [F.lit(base[k]) for k in every]
-        if above:
-            counts = counts.join(levels[above].select(above, *[F.col(f"p{k}").alias(f"q{k}") for k in every]), above, "left")
-            prior = [F.coalesce(F.col(f"q{k}"), F.lit(base[k])) for k in every]
-        shares = over_total([F.col(f"n{k}") + SMOOTH * prior[k] for k in every])
-        return counts.select(*keys, *[s.alias(f"p{k}") for k, s in zip(every, shares, strict=True)])
-
-    levels: dict[str, DataFrame] = {}
-    for name, above in (("suffix", None), ("domain", "suffix"), ("host", "domain")):
-        levels[name] = cut(level(name, above))
-    # P(declared | language) and P(suffix | language), by language.
-    claims = rows.filter(F.col("declared").isin(*langs)).groupBy("declared").agg(*sums).collect()
-    claim = {r.declared: [r[f"n{k}"] for k in every] for r in claims}
-    said = [sum(claim.get(x, [0.0] * len(langs))[k] for x in langs) for k in every]
-    trust = F.create_map(*[x for d in langs for x in (F.lit(d), F.array(*[F.lit((claim.get(d, [0.0] * len(langs))[k] + 0.5) / (said[k] + 0.5 * len(langs))) for k in every]))])
-    by_suffix = levels["suffix"].select("suffix", *[F.log(F.col(f"p{k}") / base[k]).alias(f"s{k}") for k in every])
-    by_host = levels["host"].select("host", *[F.log(f"p{k}").alias(f"h{k}") for k in every])
-    out = rows.join(by_suffix, "suffix", "left").join(by_host, "host", "left")
-    weigh = F.when(F.col("declared").isin(*langs), trust[F.col("declared")])
-    # The host's prior already holds its suffix's, which counts by itself only as far as a host is unknown.
-    scores = [F.col("logs")[k] + F.coalesce(F.log(weigh[k]), F.lit(0.0)) + F.coalesce(F.col(f"h{k}"), F.col(f"s{k}") + float(np.log(base[k])), F.lit(float(np.log(base[k])))) for k in every]
+
+    # Sums of each host, domain, suffix and declaration; rows without one match nothing, each in a part of its own.
+    out = rows.withColumn("spread", F.concat(F.lit("/"), F.pmod(F.xxhash64("id", "logs"), F.lit(4096)).cast("string")))
+    for name in ("declared", "suffix", "domain", "host"):
+        sums = rows.filter(F.col(name) != "").groupBy(F.col(name).alias("key")).agg(F.array(*[F.sum(f"t{k}") for k in every]).alias(f"n_{name}"))
+        out = out.withColumn("key", F.when(F.col(name) != "", F.col(name)).otherwise(F.col("spread"))).join(sums, "key", "left").drop("key")
+
+    def others(name: str) -> list[Column]:
+        """What pages of the same key but this one have said of each language."""
+        return [F.greatest(F.coalesce(F.col(f"n_{name}")[k], F.lit(0.0)) - F.when(F.col(name) != "", F.col(f"t{k}")).otherwise(0.0), F.lit(0.0)) for k in every]
+
+    total = [F.greatest(F.lit(all_[k]) - F.col(f"t{k}"), F.lit(0.0)) for k in every]
+    base = over_total([x + 1 for x in total])
+    prior = base
+    for name in ("domain", "host"):
+        out = out.withColumn(name + "_p", F.array(*over_total([x + SMOOTH * p for x, p in zip(others(name), prior, strict=True)])))
+        prior = [F.col(name + "_p")[k] for k in every]
+    # What a suffix and a declaration say: the share of each language among pages that have it, to that among all pages.
+    factors = []
+    for name in ("suffix", "declared"):
+        said, known = others(name), F.col(name) != ""
+        known = known & F.col("declared").isin(*langs) if name == "declared" else known
+        sum_ = sum(said[1:], said[0])
+        ratio = [(said[k] + SMOOTH * base[k]) / (sum_ + SMOOTH) / base[k] for k in every]
+        factors.append([F.when(known, F.log(r)).otherwise(0.0) for r in ratio])
+    scores = [F.col("logs")[k] + F.log(prior[k]) + factors[0][k] + factors[1][k] for k in every]
     out = out.withColumn("scores", F.array(*scores)).withColumn("top", F.array_max("scores"))
     out = out.withColumn("mass", F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     names = F.array(*map(F.lit, langs))
