@@ -1,9 +1,11 @@
 """Stupid-backoff scores of documents under counts of all documents.
 
-Documents are dealt to chunks by hash. Each chunk's distinct n-grams, with their counts, go as sorted
-blocks to the partitions of the count tables, by hash; there the blocks of all chunks meet and every
-n-gram of every block gets its total. Totals return to the chunk, which joins them to its documents'
-n-grams and sums each document's logarithms.
+The relations of the method are held in blocks, as one row for each n-gram of each document would be
+several times the text. Documents are dealt to chunks by hash. Each chunk's n-grams are exploded and
+counted; they go as sorted blocks to the buckets of the count table, by hash. There the blocks of all
+chunks are summed to the table, which is joined back to each block. The totals return to the chunk,
+are joined to its documents' exploded n-grams, and each document's logarithms are summed. Chunks and
+buckets grow in number with the words, so no task grows with the data.
 
 By default a document's own n-grams are taken off the counts that it is scored by (leave one out), so
 that a text is likely only if others are like it.
@@ -26,7 +28,8 @@ from shardloom.llm.textkernel import blocks, bytes_of, grams, words
 
 ORDER = 3
 BACKOFF = 0.4
-CHUNK_ROWS = 4096
+#: Documents and words of a chunk, about; n-grams of a bucket of the count table, at most about.
+CHUNK_ROWS, CHUNK_WORDS, BUCKET_GRAMS = 4096, 4_000_000, 16_000_000
 _BITS = np.uint64(8)  # dropped
 
 
@@ -50,17 +53,18 @@ def _read_counts(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint64).ravel().astype(np.int64)
 
 
-def _hashed(texts: pa.Array, order: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _hashed(texts: pa.Array | pa.ChunkedArray, order: int) -> Iterator[list[np.ndarray]]:
     """For each text, in order: the n-gram hashes of each order from 1."""
-    data, bounds = bytes_of(texts)
-    for first, last in blocks(bounds):
-        hashes, ends = words(data, bounds[first : last + 1])
-        runs = [grams(hashes, n) >> _BITS for n in range(1, order + 1)]
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            yield [runs[n - 1][a : max(a, b - n + 1)] for n in range(1, order + 1)]
+    for part in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        data, bounds = bytes_of(part)
+        for first, last in blocks(bounds):
+            hashes, ends = words(data, bounds[first : last + 1])
+            runs = [grams(hashes, n) >> _BITS for n in range(1, order + 1)]
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                yield [runs[n - 1][a : max(a, b - n + 1)] for n in range(1, order + 1)]
 
 
-def _tables(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+def _tables(texts: pa.Array | pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a chunk and their counts, for all orders together (n is part of the hash)."""
     held: list[np.ndarray] = []
     for runs in _hashed(texts, order):
@@ -148,7 +152,7 @@ def _score(order: int, n_tokens: int, backing: float, leave_out: bool, kind: pa.
         right = right.sort_by("bucket")
         totals = [_read_counts(x) for x in right.column("totals").to_pylist()]
         total = np.concatenate(totals) if totals else np.zeros(0, np.int64)
-        texts = left.column("text").combine_chunks()
+        texts = left.column("text")
         known, _ = _tables(texts, order)
         scores, sizes = [], []
         for runs in _hashed(texts, order):
@@ -178,10 +182,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     parts = n_parts(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n, tokens = rows.agg(F.count("*"), F.coalesce(F.sum(n_words(F.col("text"))), F.lit(0))).first()
-    chunks = max(parts, -(-n // chunk_rows))
+    chunks = max(parts, -(-n // chunk_rows), -(-tokens // CHUNK_WORDS))
+    buckets = max(parts, -(-order * tokens // BUCKET_GRAMS))
     # Both uses of these rows have one plan, so Spark makes the exchange once.
-    dealt = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).alias("chunk"), "id", "text").repartition(parts, "chunk")
-    blocks_ = dealt.sortWithinPartitions("chunk").mapInArrow(_emit(order, parts), "chunk long, bucket int, grams binary, counts binary")
-    totals = blocks_.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_total, "chunk long, bucket int, totals binary")
-    out = dealt.groupBy("chunk").cogroup(totals.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(_score(order, tokens, backing, leave_out, pa.int64()), "id long, n_tokens long, log_score double")
+    dealt = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).alias("chunk"), "id", "text").repartition(max(parts, chunks // 4), "chunk")
+    blocks_ = dealt.sortWithinPartitions("chunk").mapInArrow(_emit(order, buckets), "chunk long, bucket int, grams binary, counts binary")
+    totals = blocks_.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_total, "chunk long, bucket int, totals binary")
+    out = dealt.groupBy("chunk").cogroup(totals.repartition(max(parts, chunks // 4), "chunk").groupBy("chunk")).applyInArrow(_score(order, tokens, backing, leave_out, pa.int64()), "id long, n_tokens long, log_score double")
     return out.select(F.col("id").alias(id_col), "n_tokens", "log_score", F.try_divide("log_score", "n_tokens").alias("mean_score"))
