@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import warnings
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
@@ -57,8 +58,9 @@ class Dataset:
         self.split, self.workers = p.pop("split_data_by_worker", True), max(1, p.pop("num_workers", 1))
         self.world, self.rank = p.pop("world_size", 1), p.pop("rank", None)
         self.seed, self.sampler = p.pop("seed", 0), p.pop("tar_sampler", None)
-        for unused in ("metadata_buffer_size", "n_shards", "handler", "debug"):  # Spark sorts and joins without such bounds
-            p.pop(unused, None)
+        for unused in ("metadata_buffer_size", "n_shards", "handler", "debug"):
+            if p.pop(unused, None) is not None:
+                warnings.warn(f"{unused} has no effect: shards are joined and shuffled without buffers, errors follow error_handler", stacklevel=3)
         if p:
             raise TypeError(f"unknown settings: {', '.join(p)}")
         if isinstance(self.sampler, Mapping):
@@ -87,8 +89,10 @@ class Dataset:
         shards = self.shards(epoch).withColumnRenamed("pos", "shard_pos")
         rows = shards.collect()  # names of shards; their bytes are read by the tasks
         skip = "skip" if self.policy != "fail" else "fail"
-        read = read_tars(self.spark, sorted({r.paths[0] for r in rows}), "samples", on_error=skip).filter("error is null")
-        found = read.select("shard", "__key__", "__url__", "pos", "fields")
+        found = read_tars(self.spark, sorted({r.paths[0] for r in rows}), "samples", self._read(), skip)
+        found = found.select("shard", "__key__", "__url__", "pos", "fields", F.col("error").alias(errors.ERROR))
+        # Under ``mark``, a broken shard is a row of its own, without a key.
+        found = found if self.policy == "mark" and not self.meta_urls else found.filter(F.col(errors.ERROR).isNull()).drop(errors.ERROR)
         out = shards.withColumn("shard", F.col("paths")[0]).join(found, "shard")
         for k, suffix in enumerate(self.meta_urls, 1):
             other = read_tars(self.spark, sorted({r.paths[k] for r in rows}), "samples", on_error=skip).filter("error is null")
@@ -96,6 +100,24 @@ class Dataset:
             out = samples.join_sidecar(out.withColumn("shard_key", shard_key("shard")), other, suffix)
         return out.drop("paths")
 
+    def _read(self) -> list[str] | None:
+        """The fields whose bytes are needed, if that is known: those to decode, and those that what comes before looks at."""
+        if self.fields is None or self.decoders is None or self.meta_urls or not all(hasattr(step, "keys") for step in self.pre):
+            return None
+        return sorted({*self.fields, *(key for step in self.pre for key in step.keys)})
+
+    def _names(self, epoch: int) -> list[str]:
+        """The fields there are: from the shards' headers, or of the samples where these have sidecars."""
+        if self.meta_urls or self.pre:
+            names = apply_steps(self.raw(epoch), self.pre, self.policy).select(F.explode(F.map_keys("fields")).alias("field"))
+        else:
+            paths = sorted({r.paths[0] for r in self.shards(epoch).select("paths").collect()})
+            names = read_tars(self.spark, paths, "names", on_error="skip" if self.policy != "fail" else "fail").filter("field is not null").select("field")
+        found = [r[0] for r in names.distinct().limit(MOST_FIELDS + 1).collect()]
+        if len(found) > MOST_FIELDS:
+            raise ValueError(f"more than {MOST_FIELDS} different fields; name those wanted in fields")
+        return found
+
     def order(self, epoch: int = 0) -> list[Column]:
         if self.sample_shuffle > 1:
             return [order_key(self.seed + epoch, "shard", "__key__"), F.col("shard"), F.col("__key__")]
@@ -105,11 +127,7 @@ class Dataset:
         """Decoded and processed samples of an epoch."""
         df = apply_steps(self.raw(epoch), self.pre, self.policy)
         if self.decoders is not None:
-            names = self.fields
-            if names is None:  # which fields there are must be known to make columns of them
-                names = [r[0] for r in df.select(F.explode(F.map_keys("fields"))).distinct().limit(MOST_FIELDS + 1).collect()]
-                if len(names) > MOST_FIELDS:
-                    raise ValueError(f"more than {MOST_FIELDS} different fields; name those wanted in fields")
+            names = self._names(epoch) if self.fields is None else self.fields
             with errors.on_error(self.policy):
                 df = decode.decode(df, sorted(names), *self.decoders, **self.decoder_kwargs)
         return apply_steps(df, self.post, self.policy)
@@ -132,14 +150,15 @@ def create_dataset(
     """A dataset of tar shards.
 
     ``decoders``: names, handlers or configurations; None or an empty list decode nothing. ``fields``
-    are those to make columns of; without, the data is looked through for them. ``error_handler``:
-    ``skip`` drops samples that a mapper or decoder can't work on, ``fail`` stops, ``mark`` notes them.
+    are those to make columns of, and the only ones read; without, shards' headers are looked through for
+    them. ``error_handler``: ``skip`` drops samples that a mapper or decoder can't work on and what lies
+    behind a break in a shard, ``fail`` stops, ``mark`` notes them in ``_error``.
     The caller's configurations are not changed.
     """
     if isinstance(error_handler, Mapping):
         error_handler = config.make_callable(error_handler).func
     handlers = decode.handlers_of(copy.copy(decoders))
-    kwargs = {"partial": True, **dict(additional_decoder_kwargs or {})}
+    kwargs = {"partial": True, "strict": True, **dict(additional_decoder_kwargs or {})}
     if "passthrough_keys" in kwargs:
         kwargs["passthrough"] = kwargs.pop("passthrough_keys")
     return Dataset(ship(spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()), urls, copy.copy(pipeline_config or {}), fields, handlers, kwargs, steps_of(preprocessors), steps_of(postprocessors), errors.named(error_handler))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import gzip
 import re
+import zlib
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
@@ -30,13 +31,20 @@ def by_extension(pattern: str, fn: Callable[[Column], Column]) -> Handler:
     return lambda name, c: fn(c) if rule.search(name) else None
 
 
+def _gunzipped(data: bytes | None) -> bytes | None:
+    try:
+        return None if data is None else gzip.decompress(data)
+    except (OSError, EOFError, zlib.error):
+        return None
+
+
 def _gz(name: str, c: Column) -> Any:
     if not name.lower().endswith(".gz"):
         return None
 
     @F.pandas_udf("binary")
     def gunzip(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else gzip.decompress(v))
+        return x.map(_gunzipped)
 
     return name[:-3], gunzip(c)
 

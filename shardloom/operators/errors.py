@@ -14,6 +14,7 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,15 +55,16 @@ def reraise(problem: BaseException) -> bool:
     raise problem
 
 
-def fail_if(df: DataFrame, bad: Column, message: str) -> DataFrame:
+def fail_if(df: DataFrame, bad: Column, message: str | Column) -> DataFrame:
     """Treats rows where ``bad`` is true by the policy in force."""
     bad, policy = F.coalesce(bad, F.lit(False)), _policy.get()
+    message = F.lit(message) if isinstance(message, str) else message
     if policy == "skip":
         return df.filter(~bad)
     if policy == "mark":
         known = F.col(ERROR) if ERROR in df.columns else F.lit(None).cast("string")
-        return df.withColumn(ERROR, F.coalesce(known, F.when(bad, F.lit(message))))
-    return df.filter(F.when(bad, F.raise_error(F.lit(message)).cast("boolean")).otherwise(True))
+        return df.withColumn(ERROR, F.coalesce(known, F.when(bad, message)))
+    return df.filter(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(True))
 
 
 def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -104,17 +106,32 @@ def limited(fn: Callable[..., Any], seconds: float | None = None) -> Callable[..
     return call
 
 
-def timed(fn: Callable[..., Any], name: str) -> Callable[..., Any]:
-    """With SAMPLE_PROFILE set, ``fn`` writes its seconds as ``<name>-time`` into the dict it returns, or takes if it returns a bool."""
-    if not os.environ.get("SAMPLE_PROFILE"):
-        return fn
+def by_value(fn: Callable[[Any], Any], returns: str, seconds: float | None, name: str) -> Callable[[Column], Column]:
+    """A Python function of one value as a Column function: a struct of value, error (a message, or null) and seconds.
 
-    def call(sample: Any, *args: Any, **how: Any) -> Any:
-        began = time.perf_counter()
-        out = fn(sample, *args, **how)
-        into = sample if isinstance(out, bool) else out
-        if isinstance(into, dict):
-            into[f"{name}-time"] = time.perf_counter() - began
-        return out
+    Values come in Arrow batches. A call is given up after ``seconds`` or what the driver's environment
+    says (:func:`limited`); its error, as any other, is the row's own.
+    """
+    env = os.environ.get("SAMPLE_CALL_SECONDS", "")
+    seconds = seconds if seconds is not None else float(env) if env else None
 
-    return call
+    @F.pandas_udf(f"value {returns}, error string, seconds double")
+    def run(x: pd.Series) -> pd.DataFrame:
+        call, out = limited(fn, seconds), []
+        for v in x:
+            began = time.perf_counter()
+            try:
+                row = (call(v), None)
+            except Exception as problem:
+                row = (None, f"{type(problem).__name__}: {problem}")
+            out.append((*row, time.perf_counter() - began))
+        found = pd.DataFrame(out, columns=["value", "error", "seconds"], dtype=object)
+        found["seconds"] = found["seconds"].astype("float64")
+        return found
+
+    return run
+
+
+def profiled() -> bool:
+    """Whether Python functions' seconds are kept as columns: SAMPLE_PROFILE of the driver's environment."""
+    return bool(os.environ.get("SAMPLE_PROFILE"))

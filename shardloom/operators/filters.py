@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardloom.operators import errors
 from shardloom.operators.base import URL, AbstractFilter, as_list, require
+from shardloom.plans.config import make_callable
 
 __all__ = ["AbstractFilter", "LambdaFilter", "SimpleKeyFilter", "SimpleSizeFilter"]
 
@@ -15,12 +18,21 @@ __all__ = ["AbstractFilter", "LambdaFilter", "SimpleKeyFilter", "SimpleSizeFilte
 class LambdaFilter(AbstractFilter):
     """Keeps rows for which ``fn`` is true of every key. A row without a key fails the job.
 
-    ``fn`` takes a Column and gives a boolean one: a Column function, or a pandas UDF.
+    ``fn`` takes a Column and gives a boolean one, or, if ``python``, it takes a value and gives a bool;
+    an error of such a call fails the job, as does a call of over ``timeout`` seconds.
     """
 
-    def __init__(self, keys: str | Sequence[str], fn: Callable[[Column], Column], exclude_keys: str | Sequence[str] | None = None, verbose: bool = False, url_col: str = URL) -> None:
+    def __init__(self, keys: str | Sequence[str], fn: Callable[[Any], Any] | Mapping[str, Any], exclude_keys: str | Sequence[str] | None = None, verbose: bool = False, url_col: str = URL, python: bool = False, timeout: float | None = None) -> None:
         super().__init__(exclude_keys, verbose, url_col)
-        self.keys, self.fn = as_list(keys), fn
+        self.keys, self.fn = as_list(keys), make_callable(fn) if isinstance(fn, Mapping) else fn
+        if python:
+            call = errors.by_value(self.fn, "boolean", timeout, "LambdaFilter")
+
+            def checked(c: Column) -> Column:
+                out = call(c)
+                return F.when(out["error"].isNotNull(), F.raise_error(out["error"]).cast("boolean")).otherwise(out["value"])
+
+            self.fn = checked
 
     def predicate(self, df: DataFrame) -> Column:
         require(df, self.keys)

@@ -14,7 +14,8 @@ from shardloom.functions.ordering import order_key, uniform_int
 from shardloom.functions.paths import nested
 from shardloom.operators import tensors
 from shardloom.operators.base import URL, AbstractMapper, as_list, require
-from shardloom.operators.errors import fail_if
+from shardloom.operators.errors import by_value, fail_if, profiled
+from shardloom.plans.config import make_callable
 
 __all__ = ["AbstractMapper", "AddOriginalImageSizeAsTupleAndCropToSquare", "BatchedEinopsTransform", "ImageTransforms", "LambdaMapper", "Rescaler"]
 
@@ -24,11 +25,16 @@ def _has_shape(kind: T.DataType) -> bool:
 
 
 class LambdaMapper(AbstractMapper):
-    """Replaces each key by ``fn`` of it; ``fn`` takes a Column and gives one. A row without a key is an error."""
+    """Replaces each key by ``fn`` of it. A row without a key is an error.
 
-    def __init__(self, keys: str | Sequence[str], fn: Callable[[Column], Column], **how: Any) -> None:
+    ``fn`` takes a Column and gives one; or, if ``returns`` names a type, it takes a value and gives one of
+    that type, in Python. Errors of such calls, and calls of over ``timeout`` seconds, are left to the
+    error policy. With SAMPLE_PROFILE set, their seconds are in ``LambdaMapper-time``.
+    """
+
+    def __init__(self, keys: str | Sequence[str], fn: Callable[[Any], Any] | Mapping[str, Any], returns: str | None = None, **how: Any) -> None:
         super().__init__(**how)
-        self.keys, self.fn = as_list(keys), fn
+        self.keys, self.fn, self.returns = as_list(keys), make_callable(fn) if isinstance(fn, Mapping) else fn, returns
 
     def columns(self, df: DataFrame) -> dict[str, Column]:
         require(df, self.keys)
@@ -38,7 +44,18 @@ class LambdaMapper(AbstractMapper):
         require(df, self.keys)
         for key in self.keys:
             df = fail_if(df, F.col(key).isNull() & ~self.skipped(df), f"KeyError: {key}")
-        return super().apply(df)
+        if self.returns is None:
+            return super().apply(df)
+        call, total = by_value(self.fn, self.returns, self.timeout, "LambdaMapper"), F.lit(0.0)
+        for k, key in enumerate(self.keys):
+            active = ~self.skipped(df) & F.col(key).isNotNull()
+            df = fail_if(df.withColumn(f"_call{k}", F.when(active, call(F.col(key)))), F.col(f"_call{k}.error").isNotNull(), F.col(f"_call{k}.error"))
+            total = total + F.coalesce(F.col(f"_call{k}.seconds"), F.lit(0.0))
+            skipped = F.col(key).try_cast(self.returns) if self.exclude_keys else F.lit(None)
+            df = df.withColumn(key, F.when(F.col(f"_call{k}").isNotNull(), F.col(f"_call{k}.value")).otherwise(skipped))
+        if profiled():
+            df = df.withColumn("LambdaMapper-time", total)
+        return df.drop(*[f"_call{k}" for k in range(len(self.keys))])
 
 
 class Rescaler(AbstractMapper):
@@ -135,7 +152,7 @@ class AddOriginalImageSizeAsTupleAndCropToSquare(AbstractMapper):
     """
 
     def __init__(
-        self, h_key: str = "height", w_key: str = "width", image_key: str | None = "jpg", use_data_key: bool = True, data_key: str = "json", seed: int = 0, row_key: str = "__key__", height_col: str | None = None, width_col: str | None = None, **how: Any
+        self, h_key: str = "original_height", w_key: str = "original_width", image_key: str | None = "jpg", use_data_key: bool = True, data_key: str = "json", seed: int = 0, row_key: str = "__key__", height_col: str | None = None, width_col: str | None = None, **how: Any
     ) -> None:
         super().__init__(**how)
         self.h_key, self.w_key, self.image_key, self.use_data_key, self.data_key = h_key, w_key, image_key, use_data_key, data_key

@@ -137,7 +137,7 @@ def decode_image(data: bytes) -> np.ndarray:
 
         from PIL import Image
     except ImportError as problem:
-        raise ValueError("this image format needs Pillow, which isn't installed") from problem
+        raise RuntimeError("this image format needs Pillow, which isn't installed") from problem
     return np.asarray(Image.open(io.BytesIO(data)).convert("RGB"))
 
 
@@ -184,14 +184,22 @@ def _png(data: bytes) -> np.ndarray:
     return palette[pixels[:, :, 0]] if kind == 3 else pixels
 
 
+def _decoded(data: bytes | None) -> np.ndarray | None:
+    try:
+        return None if data is None else decode_image(bytes(data))
+    except (ValueError, KeyError, IndexError, TypeError, OSError, struct.error, zlib.error):
+        return None
+
+
 def image_udf(c: Column) -> Column:
-    """The pixels of encoded images, (height, width, channels)."""
+    """The pixels of encoded images, (height, width, channels); null for those that can't be decoded."""
 
     @F.pandas_udf(TENSOR)
     def run(x: pd.Series) -> pd.DataFrame:
-        return _frame([None if v is None else decode_image(bytes(v)) for v in x])
+        return _frame([_decoded(v) for v in x])
 
-    return F.when(c.isNotNull(), run(c))
+    out = run(c)
+    return F.when(out["shape"].isNotNull(), out)
 
 
 def _kernel(x: np.ndarray, cubic: bool) -> np.ndarray:

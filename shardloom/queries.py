@@ -6,18 +6,31 @@ Tables stand in for samples: ``documents`` are samples with ``__key__`` = doc_id
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import atexit
+import functools
+import gzip
+import io
+import json
+import os
+import shutil
+import tarfile
+import tempfile
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shardloom.api import repeat_first
+from shardloom.api import apply_steps, create_dataset, create_loader, repeat_first, steps_of
 from shardloom.functions.ordering import order_key
-from shardloom.functions.paths import dirname, field_name, is_tar, sample_key, shard_key, sidecar_key
+from shardloom.functions.paths import dirname, field_name, is_tar, nested, sample_key, shard_key, sidecar_key
 from shardloom.operators import batching, decode, errors, samples, tensors
 from shardloom.operators.filters import LambdaFilter, SimpleKeyFilter, SimpleSizeFilter
-from shardloom.operators.mappers import AddOriginalImageSizeAsTupleAndCropToSquare, BatchedEinopsTransform, LambdaMapper, Rescaler
+from shardloom.operators.mappers import AddOriginalImageSizeAsTupleAndCropToSquare, BatchedEinopsTransform, ImageTransforms, LambdaMapper, Rescaler
 from shardloom.plans import braces, manifest
+from shardloom.sources.tarshards import read_tars
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -338,17 +351,162 @@ def dummy_repeat(spark: SparkSession, d: str) -> DataFrame:
     return repeat_first(docs, [order_key(SEED, "doc_id"), "doc_id"], 100)
 
 
-@query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('7|0|' || doc_id), doc_id) AS place FROM documents")
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('7|' || source || '|' || doc_id), source, doc_id::VARCHAR) AS place FROM documents")
 def sample_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    order = Window.partitionBy("source").orderBy(order_key(SEED, F.lit("0"), F.col("doc_id")), "doc_id")
-    return docs.select("doc_id", F.row_number().over(order).alias("place"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("shard"), F.col("doc_id").cast("string").alias("__key__"))
+    order = create_dataset("/none/{0..1}.tar", {"sample_shuffle": 10, "seed": SEED}, decoders=None, spark=spark).order()
+    return batching.numbered(docs, 1, order, None).select("doc_id", (F.col("batch") + 1).alias("place"))
 
 
-@query("SELECT 'documents' AS prefix, count(*) AS shards FROM documents UNION ALL SELECT 'pages', count(*) FROM pages")
+@query("SELECT '/a/' AS prefix, printf('/a/%04d.tar', i) AS path FROM range(12) t(i) UNION ALL SELECT '/b/', '/b/' || i || '.tar' FROM range(3, 8) t(i)")
 def multi_root(spark: SparkSession, d: str) -> DataFrame:
-    roots = [table(spark, d, "documents").select(F.lit("documents").alias("prefix")), table(spark, d, "pages").select(F.lit("pages").alias("prefix"))]
-    return roots[0].union(roots[1]).groupBy("prefix").agg(F.count("*").alias("shards"))
+    return manifest.list_shards(spark, ["/a/{0000..0011}.tar", "/b/{3..7}.tar"]).select(F.regexp_extract("path", "^/./", 0).alias("prefix"), "path")
+
+
+# --- shards ---
+
+
+def _write_shards(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Tar files of rows sorted by shard: (shard, member, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, tar = None, None
+        done = []
+
+        def close() -> None:
+            tar.close()
+            os.replace(f"{folder}/{name}.part", f"{folder}/{name}")
+            done.append(name)
+
+        for batch in batches:
+            for shard, member, content in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if shard != name:
+                    if tar:
+                        close()
+                    os.makedirs(os.path.dirname(f"{folder}/{shard}"), exist_ok=True)
+                    name, tar = shard, tarfile.open(f"{folder}/{shard}.part", "w")
+                entry = tarfile.TarInfo(member)
+                entry.size = len(content)
+                tar.addfile(entry, io.BytesIO(content))
+        if tar:
+            close()
+        yield pa.record_batch([pa.array(done, pa.string())], ["shard"])
+
+    return run
+
+
+@functools.lru_cache
+def _shards(spark: SparkSession, d: str) -> str:
+    """A folder of shards of all labelled documents, and one of a sidecar with every other document and without the last shard.
+
+    It is on this machine, for these queries: there every task can read it.
+    """
+    folder = tempfile.mkdtemp(prefix="shardloom-shards-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").withColumn("shard", F.format_string("%04d.tar", F.col("doc_id") % 8))
+    as_json = F.to_json(F.struct("toxic", F.struct("lang", "source").alias("of")))
+    fields = {"txt": F.col("text"), "cls": F.col("quality").cast("string"), "json": as_json}
+    parts = [docs.select(F.concat(F.lit("ds/"), "shard").alias("shard"), F.concat("doc_id", F.lit(f".{k}")).alias("member"), c.cast("binary").alias("content")) for k, c in fields.items()]
+    side = docs.filter("doc_id % 2 = 0 and doc_id % 8 < 6")
+    side = side.select(F.concat(F.lit("ds_side/"), "shard"), F.concat("doc_id", F.lit(".json")), F.to_json(F.struct("n_chars")).cast("binary"))
+    rows = functools.reduce(DataFrame.union, [*parts, side]).repartition(4, "shard").sortWithinPartitions("shard", "member")
+    rows.mapInArrow(_write_shards(folder), "shard string").collect()  # names
+    return f"{folder}/ds/"
+
+
+FIELDS = ["cls", "json", "txt"]
+_LABELLED = "documents JOIN labels USING (doc_id)"
+
+
+@query(f"SELECT doc_id, printf('%04d.tar', doc_id % 8) AS shard, quality::VARCHAR AS content FROM {_LABELLED}")
+def tar_members(spark: SparkSession, d: str) -> DataFrame:
+    paths = [r.path for r in manifest.list_shards(spark, _shards(spark, d)).collect()]
+    rows = read_tars(spark, paths, fields=["cls"])
+    return rows.select(F.regexp_extract("member", r"([0-9]+)\.cls$", 1).cast("long").alias("doc_id"), F.substring_index("shard", "/", -1).alias("shard"), F.col("content").cast("string").alias("content"))
+
+
+@query(f"SELECT doc_id, md5(text) AS text, quality AS cls, toxic, source FROM {_LABELLED}")
+def tar_dataset(spark: SparkSession, d: str) -> DataFrame:
+    df = create_dataset(_shards(spark, d), {"shardshuffle": 100, "seed": SEED}, decoders=["txt"], fields=FIELDS, spark=spark).frame()
+    return df.select(F.col("__key__").cast("long").alias("doc_id"), F.md5("txt").alias("text"), "cls", nested("json", "toxic", "bigint").alias("toxic"), nested("json", "of.source", "string").alias("source"))
+
+
+@query(f"SELECT doc_id, quality, n_chars, toxic FROM {_LABELLED} WHERE doc_id % 2 = 0 AND doc_id % 8 < 6")
+def tar_sidecar(spark: SparkSession, d: str) -> DataFrame:
+    df = create_dataset(_shards(spark, d), {"meta_urls": "side"}, decoders=["txt"], fields=["cls", "json", "side.json"], spark=spark).frame()
+    return df.select(F.col("__key__").cast("long").alias("doc_id"), F.col("cls").alias("quality"), nested("`side.json`", "n_chars", "bigint").alias("n_chars"), nested("json", "toxic", "bigint").alias("toxic"))
+
+
+@query(f"SELECT doc_id, quality AS cls, 1 AS batch_size FROM {_LABELLED}")
+def loader_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What a loader of two workers hands to its consumer, in batches of one, goes round once."""
+    data = create_dataset(_shards(spark, d), {"repeat": 1, "sample_shuffle": 100}, decoders=["txt"], fields=["cls"], spark=spark)
+    got = [(int(k), c, r["batch_size"]) for r in create_loader(data, 1, num_workers=2, partial=True) for k, c in zip(r["__key__"], r["cls"], strict=True)]
+    return spark.createDataFrame(got, "doc_id long, cls long, batch_size int")
+
+
+@query(f"SELECT doc_id, quality FROM {_LABELLED} WHERE quality = 1")
+def tar_key_and_class(spark: SparkSession, d: str) -> DataFrame:
+    """A raw filter, and a Python function as filter behind the decoders, both from configurations."""
+    pre = [{"target": "shardloom.operators.filters.SimpleKeyFilter", "params": {"keys": ["cls", "txt"]}}]
+    data = create_dataset(_shards(spark, d), None, ["txt"], None, pre, [LambdaFilter("cls", lambda v: v == 1, python=True)], fields=["cls"], spark=spark)
+    return data.frame().select(F.col("__key__").cast("long").alias("doc_id"), F.col("cls").alias("quality"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(source, 'src3') THEN quality::DOUBLE ELSE quality * 2.0 - 1 END AS quality FROM documents JOIN labels USING (doc_id)")
+def mapper_exclude(spark: SparkSession, d: str) -> DataFrame:
+    step = {"target": "shardloom.operators.mappers.Rescaler", "params": {"key": "quality", "exclude_keys": ["src3"]}}
+    return apply_steps(_labelled(spark, d).filter("quality is not null"), steps_of([step]), "fail").select("doc_id", "quality")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS props FROM events WHERE event_id % 5 <> 0")
+def python_mapper(spark: SparkSession, d: str) -> DataFrame:
+    """A Python function of a value; rows on which it fails are dropped."""
+    rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, F.lit("{")).otherwise(F.col("props")).alias("props"))
+    with errors.on_error("skip"):
+        return LambdaMapper("props", lambda v: int(json.loads(v)["k"]), returns="bigint", timeout=30).apply(rows)
+
+
+@query("SELECT doc_id, lang AS cls FROM documents WHERE lang <> 'en'")
+def decode_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Fields that can't be decoded leave their row to the error policy: here English ones aren't gzip."""
+    docs = table(spark, d, "documents")
+    packed = F.when(F.col("lang") == "en", F.col("lang").cast("binary")).otherwise(_gzipped("lang"))
+    rows = docs.select("doc_id", F.create_map(F.lit("cls.txt.gz"), packed).alias("fields"))
+    with errors.on_error("skip"):
+        return decode.decode(rows, ["cls.txt.gz"], strict=True).select("doc_id", F.col("`cls.txt.gz`").alias("cls"))
+
+
+@F.pandas_udf(T.BinaryType())
+def _gzipped(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: gzip.compress(v.encode()))
+
+
+@query("SELECT p_partkey, [3, 1, 2] AS shape, [p_size / 255.0, 20 / 255.0, 1 / 255.0, 5 / 255.0, 0.0, 1.0]::DOUBLE[] AS data FROM part")
+def image_to_tensor(spark: SparkSession, d: str) -> DataFrame:
+    pixels = F.struct(F.array(*map(F.lit, (1, 2, 3))).alias("shape"), F.array(F.col("p_size"), F.lit(1), F.lit(0), F.lit(20), F.lit(5), F.lit(255)).cast("array<double>").alias("data"))
+    out = ImageTransforms(["ToTensor"], key="jpg").apply(table(spark, d, "part").select("p_partkey", pixels.alias("jpg")))
+    return out.select("p_partkey", "jpg.shape", "jpg.data")
+
+
+@query("SELECT p_partkey, [2, 2, 1] AS shape, [p_size, p_size, 7, 7]::DOUBLE[] AS data FROM part")
+def einops_repeat(spark: SparkSession, d: str) -> DataFrame:
+    pixels = F.struct(F.array(F.lit(2), F.lit(1)).alias("shape"), F.array(F.col("p_size"), F.lit(7)).cast("array<double>").alias("data"))
+    out = BatchedEinopsTransform("b c -> b r c", "x", "repeat", axes={"r": 2}).apply(table(spark, d, "part").select("p_partkey", pixels.alias("x")))
+    return out.select("p_partkey", "x.shape", "x.data")
+
+
+@query("SELECT lang AS worker, rn // 8 AS batch, sum(n_chars)::BIGINT AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS rn FROM documents) GROUP BY ALL")
+def collate_custom(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("lang").alias("worker"), "doc_id", "n_chars")
+    return batching.batched(docs, 8, ["doc_id"], partial=True, collation=lambda rows, keys, names: rows.groupBy(*keys).agg(F.sum("n_chars").alias("n_chars")))
+
+
+@query("SELECT page_id, url AS main, url || '-side' AS side FROM pages")
+def unzip_paths(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "pages").select("page_id", F.array("url", F.concat("url", F.lit("-side"))).alias("paths"))
+    main, side = samples.unzip(rows, 2)
+    return main.withColumnRenamed("path", "main").join(side.withColumnRenamed("path", "side"), "page_id")
 
 
 def pipeline_of(spark: SparkSession, d: str, size: int) -> DataFrame:

@@ -8,7 +8,7 @@ import shardloom.plans.config as config
 from shardloom.api import create_dataset, create_dummy_dataset, create_loader
 from shardloom.operators.filters import SimpleKeyFilter, SimpleSizeFilter
 from shardloom.operators.mappers import AddOriginalImageSizeAsTupleAndCropToSquare, ImageTransforms, LambdaMapper, Rescaler
-from shardloom.sources.tarshards import read_tars
+from shardloom.sources.tarshards import assemble, last_places, members, read_tars
 from shardloom.streaming.arrivals import arriving, processed, write_batches
 from tests.tars import dataset, image, write_tar
 
@@ -68,7 +68,7 @@ def test_sidecar_dataset(spark, tmp_path):
 def test_example(spark, tmp_path):
     """The usual chain: size filter, image transforms, rescaling, crop, batches."""
     url = dataset(tmp_path)
-    post = [ImageTransforms([{"target": "Resize", "params": {"size": 6, "interpolation": 3}}, "ToTensor"], key="png"), Rescaler("png"), AddOriginalImageSizeAsTupleAndCropToSquare(image_key="png")]
+    post = [ImageTransforms([{"target": "Resize", "params": {"size": 6, "interpolation": 3}}, "ToTensor"], key="png"), Rescaler("png"), AddOriginalImageSizeAsTupleAndCropToSquare("height", "width", image_key="png")]
     data = create_dataset(url, {"shardshuffle": 100, "sample_shuffle": 10, "repeat": 1}, postprocessors=post, **DECODED)
     rows = list(create_loader(data, 2, num_workers=2, loader_kwargs={"as_numpy": True}))
     assert rows and all(r["png"].shape == (2, 3, 6, 6) for r in rows)
@@ -161,3 +161,61 @@ def test_exports():
     assert shardloom.mappers.Rescaler is Rescaler and shardloom.warn_and_continue("going on") is True
     with pytest.raises(AttributeError):
         shardloom.nothing
+
+
+def test_broken_shards_are_marked(spark, tmp_path):
+    url = dataset(tmp_path)
+    (tmp_path / "ds" / "7.tar").write_bytes(b"no tar at all" * 200)
+    marked = create_dataset(url, decoders=["txt"], fields=["txt"], error_handler="mark").frame().collect()
+    assert [r["shard"].endswith("7.tar") for r in marked if r["_error"]] == [True] and len(marked) == 13
+    assert create_dataset(url, decoders=["txt"], fields=["txt"]).frame().count() == 12
+    with pytest.raises(Exception, match="ReadError|truncated|header"):
+        create_dataset(url, decoders=["txt"], fields=["txt"], error_handler="fail").frame().collect()
+
+
+def test_fields_that_cannot_be_decoded_go_by_the_policy(spark, tmp_path):
+    path = write_tar(tmp_path / "s.tar", [("0.cls", b"1"), ("1.cls", b"one")])
+    assert create_dataset(path, decoders=["cls"], fields=["cls"]).frame().count() == 1
+    assert create_dataset(path, decoders=["cls"], fields=["cls"], error_handler="mark").frame().filter("_error is not null").count() == 1
+    with pytest.raises(Exception, match="can't be decoded"):
+        create_dataset(path, decoders=["cls"], fields=["cls"], error_handler="fail").frame().collect()
+
+
+def test_only_asked_fields_are_read(spark, tmp_path):
+    url = dataset(tmp_path)
+    data = create_dataset(url, decoders=["txt"], fields=["txt"], preprocessors=[SimpleKeyFilter("cls")])
+    assert data._read() == ["cls", "txt"]
+    assert {tuple(sorted(r.fields)) for r in data.raw().collect()} == {("cls", "txt")}
+    none = create_dataset(url, decoders=["txt"], fields=["odd"])
+    assert none.frame().count() == 12  # a sample without the field is still one
+
+
+def test_samples_go_as_soon_as_they_are_whole():
+    seen = []
+
+    def rows():
+        for pos, name in enumerate(["a.x", "b.x", "a.y", "c.x", "b.y", "c.x"]):
+            seen.append(pos)
+            yield f"/s.tar/{name}", pos, b"%d" % pos
+
+    last = last_places(iter([(f"/s.tar/{n}", k, None) for k, n in enumerate(["a.x", "b.x", "a.y", "c.x", "b.y", "c.x"])]))
+    out = assemble(rows(), last)
+    assert next(out)[0] == "a" and len(seen) == 3
+    assert next(out) == ("b", "/s.tar", 1, {"x": b"1", "y": b"4"}) and len(seen) == 5
+    assert next(out) == ("c", "/s.tar", 3, {"x": b"5"})
+
+
+def test_a_large_shard_is_read_sample_by_sample(tmp_path):
+    import tracemalloc
+
+    path = write_tar(tmp_path / "s.tar", [(f"{k}.{f}", bytes(200_000)) for k in range(100) for f in ("x", "y")])
+    tracemalloc.start()
+    n = sum(1 for _ in assemble(members(path), last_places(members(path, content=False))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 100 and peak < 5_000_000 < os.path.getsize(path)
+
+
+def test_settings_without_effect_are_warned_of(spark, tmp_path):
+    with pytest.warns(UserWarning, match="n_shards has no effect"):
+        create_dataset(dataset(tmp_path), {"n_shards": 5}, decoders=None)

@@ -101,7 +101,7 @@ def test_crop(spark, h, w):
     x = image(1, h, w).transpose(2, 0, 1).astype(float)
     rows = [(f"k{i}", {"height": h * 2, "width": w * 2}, (list(x.shape), x.ravel().tolist())) for i in range(20)]
     df = spark.createDataFrame(rows, f"__key__ string, json struct<height:int,width:int>, jpg {tensors.TENSOR}")
-    got = AddOriginalImageSizeAsTupleAndCropToSquare().apply(df).collect()
+    got = AddOriginalImageSizeAsTupleAndCropToSquare("height", "width").apply(df).collect()
     n, places = min(h, w), set()
     for r in got:
         top, left = r.crop_coords_top_left
@@ -114,7 +114,7 @@ def test_crop(spark, h, w):
 def test_crop_needs_channels(spark):
     df = spark.createDataFrame([("k", {"height": 1, "width": 1}, ([4, 1, 1], [0.0] * 4))], f"__key__ string, json struct<height:int,width:int>, jpg {tensors.TENSOR}")
     with pytest.raises(Exception, match="channels"):
-        AddOriginalImageSizeAsTupleAndCropToSquare().apply(df).collect()
+        AddOriginalImageSizeAsTupleAndCropToSquare("height", "width").apply(df).collect()
 
 
 def test_images(spark):
@@ -138,7 +138,7 @@ def test_png(c):
 def test_other_formats():
     x = image(2, 3, 4)
     assert (tensors.decode_image(b"P6 4 3 255\n" + x.tobytes()) == x).all()
-    with pytest.raises(ValueError):
+    with pytest.raises((ValueError, RuntimeError)):
         tensors.decode_image(b"\xff\xd8\xff")
 
 
@@ -233,8 +233,35 @@ def test_time_limit_and_timing(monkeypatch):
         errors.limited(time.sleep, 0.05)(2)
     with pytest.raises(KeyError):
         errors.limited(lambda: {}["x"], 5)()
+
+
+def slow(v):
+    time.sleep(v)
+    return int(10 * v)
+
+
+def test_python_functions_of_values(spark, monkeypatch):
+    df = spark.createDataFrame([(0.0, "a"), (0.1, "b"), (9.0, "c"), (None, "d")], "x double, __url__ string")
+    with errors.on_error("mark"):
+        got = {r["__url__"]: r for r in LambdaMapper("x", slow, returns="int", timeout=1.0).apply(df).collect()}
+    assert (got["a"].x, got["b"].x, got["c"].x) == (0, 1, None)
+    assert "CallTimeout" in got["c"]._error and "KeyError: x" in got["d"]._error and got["a"]._error is None
+    monkeypatch.setenv("SAMPLE_CALL_SECONDS", "1")
     monkeypatch.setenv("SAMPLE_PROFILE", "1")
-    assert "f-time" in errors.timed(lambda s: dict(s), "f")({"a": 1})
-    sample = {}
-    assert errors.timed(lambda s: True, "g")(sample) is True and "g-time" in sample
-    assert errors.timed(lambda s: None, "h")({}) is None
+    with errors.on_error("skip"):
+        out = LambdaMapper("x", slow, returns="int").apply(df).collect()
+    assert sorted(r["__url__"] for r in out) == ["a", "b"] and max(r["LambdaMapper-time"] for r in out) >= 0.1
+    kept = LambdaMapper("x", slow, returns="double", exclude_keys=["c", "d"]).apply(df.filter("x is not null")).collect()
+    assert {r["__url__"]: r.x for r in kept} == {"a": 0.0, "b": 1.0, "c": 9.0}
+    assert keys(LambdaFilter("x", lambda v: v < 1, python=True).apply(df.filter("x is not null"))) == ["a", "b"]
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        LambdaFilter("x", lambda v: 1 / v > 0, python=True).apply(df.filter("x is not null")).collect()
+
+
+def test_broken_images_are_null_and_unknown_formats_an_error(spark):
+    good = png(image(1, 4, 5))
+    df = spark.createDataFrame([(1, {"png": good}), (2, {"png": good[:60]}), (3, {"png": b"P6 x"})], "id int, fields map<string,binary>")
+    got = {r.id: r.png for r in decode.decode(df, ["png"], "rgb8").collect()}
+    assert got[1].shape == [4, 5, 3] and got[2] is None and got[3] is None
+    with errors.on_error("skip"):
+        assert decode.decode(df, ["png"], "rgb8", strict=True).count() == 1
