@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardloom.llm.base import cut, n_parts, prepare, unused
@@ -44,8 +44,8 @@ _CLASS_BITS = np.uint64(6)
 
 
 SCANNED = ["id", "n", "digest", "outline", "piece", "counts"]
-#: A set's counts in 256 equal ranges of the hash, modulo 4.
-_RANGES = 256
+#: A set's counts in 128 equal ranges of the hash, modulo 4.
+_RANGES = 128
 #: Stands for an unknown outline. A set that happens to have it is compared without.
 _NO_OUTLINE = b"\xff" * (_RANGES // 4)
 _four = np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3
@@ -55,7 +55,7 @@ _APART = np.minimum(_steps, 4 - _steps).sum(-1).astype(np.uint8)
 
 
 def _outline(found: np.ndarray) -> bytes:
-    counts = (np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=_RANGES) & 3).astype(np.uint8)
+    counts = (np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=_RANGES) & 3).astype(np.uint8)
     return (counts[::4] | counts[1::4] << 2 | counts[2::4] << 4 | counts[3::4] << 6).tobytes()
 
 
@@ -430,26 +430,38 @@ def _links(spark: SparkSession, texts: DataFrame, pairs: DataFrame, n: int, num:
     return rows.mapInArrow(_verify(n, num, den), "u long, v long")
 
 
+def _packed(high: str, low: Column, name: str = "packed") -> Column:
+    """Two numbers as one; ``low`` from 0 up to 2^31."""
+    return F.shiftleft(F.col(high).cast("long"), 32).bitwiseOR(low.cast("long")).alias(name)
+
+
+def _unpacked(df: DataFrame, high: str, low: str, name: str = "packed") -> DataFrame:
+    return df.withColumns({high: F.shiftright(name, 32), low: F.col(name).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")}).drop(name)
+
+
 def _how(requests: int) -> str:
-    """Few enough requests go to the texts; else both meet by id."""
+    """Few enough requests go to the rows they are for; else both meet by id."""
     return "broadcast" if requests <= MOST_SENT else "merge"
 
 
 def _last_links(spark: SparkSession, texts: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """All links that are left between ``classes``, or enough of them to connect what they connect."""
     parts = n_parts(spark)
-    # Tokens of several classes; the largest of these is the main one.
-    by_class = classes.groupBy("token", "root").agg(F.count("*").alias("n"), F.min("node").alias("node"))
-    mixed = by_class.groupBy("token").agg(F.sum("n").alias("many"), F.max_by("root", "n").alias("main"), F.min("node").alias("first"), F.count("*").alias("kinds")).filter("kinds > 1")
-    rows = classes.drop("salt", "head").join(mixed.drop("kinds"), "token")
-    # A token of many rows is dealt out; rows that aren't of its main class visit all its parts.
-    rows = rows.withColumn("cells", F.ceil(F.col("many") / HOT_ROWS)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")))
-    every = F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)
-    rows = rows.withColumn("cell", F.explode(F.when((F.col("cells") > 1) & (F.col("root") != F.col("main")), every).otherwise(F.array("own"))))
-    rows = rows.withColumn("key", F.xxhash64("token", "cell"))
+    columns = ["head", "token", "cell", "key", "node", "root", "size", "rank", "shared", "ends", "outline", "visits"]
+    none = F.lit(0).cast("long")
+    rows = classes.filter("salt < 0").withColumns({"cell": none, "key": F.col("token"), "visits": none, "rank": F.col("rank").cast("long")}).select(columns)
+    # Of tokens that were dealt out: those of several classes. The largest of these is the main one; rows that
+    # aren't of it visit all parts of the token.
+    hot = classes.filter("salt >= 0").drop("salt", "head")
+    by_class = hot.groupBy("token", "root").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    mixed = by_class.groupBy("token").agg(F.sum("n").alias("many"), F.max_by("root", "n").alias("main"), F.min("node").alias("head"), F.count("*").alias("kinds")).filter("kinds > 1")
+    hot = hot.join(mixed.drop("kinds"), "token").withColumn("cells", F.ceil(F.col("many") / HOT_ROWS)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")))
+    every = F.sequence(none, F.col("cells") - 1)
+    hot = hot.withColumn("cell", F.explode(F.when((F.col("cells") > 1) & (F.col("root") != F.col("main")), every).otherwise(F.array("own"))))
+    hot = hot.withColumns({"key": F.xxhash64("token", "cell"), "visits": (F.col("cell") != F.col("own")).cast("long"), "rank": F.col("rank").cast("long")})
     # Tokens of one group of documents meet in some tasks, not in all, as a task gives out each of its groups once.
-    rows = rows.repartition(parts, "first", F.pmod("token", F.lit(_spread(parts))), "cell").sortWithinPartitions("key", "size", "node")
-    rows = rows.select("key", "node", "root", "size", F.col("rank").cast("long"), "shared", "ends", "outline", (F.col("cell") != F.col("own")).cast("long").alias("visits"))
+    rows = rows.union(hot.select(columns)).repartition(parts, "head", F.pmod("token", F.lit(_spread(parts))), "cell").sortWithinPartitions("key", "size", "node")
+    rows = rows.select(columns[3:])
     near = cut(rows.mapInArrow(_connect(num, den), "u long, v long").distinct())
     if near.isEmpty():
         return near
@@ -498,16 +510,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal = named.select(F.col("id").alias("u"), F.col("node").alias("v"))
 
     found = texts.mapInArrow(_prefixes(n, num, den, rarity), "token long, id long, size long, salt int")
-    found = cut(found.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_shared, "token long, id long, size long, salt int, head long"))
-    renamed = named.join(odd, "id", "left_anti").groupBy("id").agg(F.min("node").alias("node"))
-    found = found.join(renamed, "id", "left").select("token", "size", "salt", "head", F.coalesce("node", "id").alias("node"))
+    found = found.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt").mapInArrow(_shared, "token long, id long, size long, salt int, head long")
+    # Two numbers are kept as one, as these are the rows that take most disk.
+    found = _unpacked(cut(found.select("token", "id", "head", _packed("size", F.col("salt") + 1))), "size", "salt").withColumn("salt", F.col("salt") - 1)
+    renamed = cut(named.join(odd, "id", "left_anti").groupBy("id").agg(F.min("node").alias("node")))
+    found = found.join(renamed.hint(_how(renamed.count())), "id", "left").select("token", "size", "salt", "head", F.coalesce("node", "id").alias("node"))
     ends = found.filter("size < 0").groupBy("node").agg(F.when(F.min("token") == F.max("token"), F.min("token")).alias("ends"))
     # A node that was renamed comes with the salts and heads of its copies; one is enough where they meet all.
     found = found.filter("size >= 0").groupBy("token", "node", "size").agg(F.min(F.struct("salt", "head")).alias("at")).select("token", "node", "size", "at.salt", "at.head")
     # Where a token stands among those of the document's prefix that others have too, and how many these are.
+    # Joins come first: they and the window are by node, so rows move once for all of them.
     ranked = Window.partitionBy("node", "size")
+    found = found.join(outlines, "node", "left").join(ends, "node", "left").withColumns({"outline": F.coalesce("outline", F.lit(_NO_OUTLINE)), "ends": F.coalesce("ends", F.lit(0))})
     found = found.withColumn("shared", F.count("*").over(ranked)).withColumn("rank", F.row_number().over(ranked.orderBy(F.conv(F.hex("token"), 16, 10).cast("decimal(20,0)"))) - 1)
-    found = cut(found.join(outlines, "node", "left").join(ends, "node", "left").withColumns({"outline": F.coalesce("outline", F.lit(_NO_OUTLINE)), "ends": F.coalesce("ends", F.lit(0))}))
+    found = cut(found.select("token", "node", "head", "outline", "ends", _packed("size", F.col("salt") + 1), _packed("shared", F.col("rank"), "places")))
+    found = _unpacked(_unpacked(found, "size", "salt").withColumn("salt", F.col("salt") - 1), "shared", "rank", "places")
 
     # What a task finds twice it gives out once, so tokens of one group of documents meet in some tasks.
     few = found.withColumn("key", F.xxhash64("token", "salt")).repartition(parts, "head", F.pmod("token", F.lit(_spread(parts))), "salt").sortWithinPartitions("key", "size", "node")
@@ -515,7 +532,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = cut(few.mapInArrow(_meet(num, den), "a long, b long").distinct())
     links = equal.union(cut(_links(spark, texts, pairs, n, num, den)))
     roots = components(links)
-    classes = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = found.join(roots.hint(_how(roots.count())), "node", "left").withColumn("root", F.coalesce("root", "node"))
     more = _last_links(spark, texts, classes, n, num, den)
     # What is linked now are classes, of which their roots are the names.
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))

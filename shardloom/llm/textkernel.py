@@ -1,7 +1,7 @@
 """Hashes of the words and word n-grams of many texts at once, in numpy.
 
 A word's hash is a polynomial over its bytes, summed for all words of a block in one pass. Blocks are
-small (about a megabyte, or one text if that is longer), so memory doesn't follow the batch.
+small (half a megabyte, or one text if that is longer), so memory doesn't follow the batch.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25)
 
