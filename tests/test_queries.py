@@ -37,6 +37,17 @@ def test_query(spark, duck, name):
     assert got == want
 
 
+def test_means_have_the_sign_of_their_sql(spark, tmp_path):
+    """A mean that rounds to zero from below is -0.0 in SQL."""
+    rows = [(k, [x] * 64, 1) for k, x in enumerate([-1e-8, 1e-8, 0.0, -0.0, -0.25, 0.1234565, -0.1234565, -4.9e-7, 5.1e-7, -5.1e-7, -1.0, 1.0, 4.9e-7, 3e5, -3e5, 2.5])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    (got,) = QUERIES["einops_reduce_mean"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    (want,) = con.execute(SQL["einops_reduce_mean"]).fetchall()
+    assert str(got["means"]) == str(want[2])
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     """The driver may take the subpackage away; the rest goes on."""
     import os
