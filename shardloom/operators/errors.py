@@ -117,19 +117,65 @@ def by_value(fn: Callable[[Any], Any], returns: str, seconds: float | None, name
 
     @F.pandas_udf(f"value {returns}, error string, seconds double")
     def run(x: pd.Series) -> pd.DataFrame:
-        call, out = limited(fn, seconds), []
-        for v in x:
-            began = time.perf_counter()
-            try:
-                row = (call(v), None)
-            except Exception as problem:
-                row = (None, f"{type(problem).__name__}: {problem}")
-            out.append((*row, time.perf_counter() - began))
-        found = pd.DataFrame(out, columns=["value", "error", "seconds"], dtype=object)
-        found["seconds"] = found["seconds"].astype("float64")
-        return found
-
-    return run
+        values, problems, times = _called(fn, list(x), seconds)
+        return pd.DataFrame({"value": pd.Series(values, dtype=object), "error": pd.Series(problems, dtype=object), "seconds": pd.Series(times, dtype="float64")})
+
+    # Else a filter on its errors would be moved before it, with the calls made there once more.
+    return run.asNondeterministic()
+
+
+class _Lane:
+    """Calls of values one after another, by one thread, until it is through or left."""
+
+    def __init__(self, fn: Callable[[Any], Any], values: list[Any]) -> None:
+        self.fn, self.values, self.lock, self.through = fn, values, threading.Lock(), threading.Event()
+        self.done: list[tuple[Any, str | None, float]] = []
+        self.left, self.began = False, time.perf_counter()
+        self.fatal: BaseException | None = None
+
+    def work(self) -> None:
+        try:
+            for v in self.values:
+                try:
+                    row = (self.fn(v), None)
+                except Exception as problem:
+                    row = (None, f"{type(problem).__name__}: {problem}")
+                with self.lock:
+                    if self.left:
+                        return
+                    now = time.perf_counter()
+                    self.done.append((*row, now - self.began))
+                    self.began = now
+        except BaseException as problem:  # no value's own error: it ends the task
+            self.fatal = problem
+        self.through.set()
+
+
+def _called(fn: Callable[[Any], Any], values: list[Any], seconds: float | None) -> tuple[list, list, list]:
+    """Values, errors and seconds of calls; one that takes over ``seconds`` is left as it is, and a new thread goes on behind it.
+
+    So a thread is started for each call that is given up, not for each call.
+    """
+    out: list[tuple[Any, str | None, float]] = []
+    while len(out) < len(values):
+        lane = _Lane(fn, values[len(out) :])
+        if seconds is None:
+            lane.work()
+        else:
+            threading.Thread(target=lane.work, daemon=True).start()
+            rest = seconds
+            while not lane.through.wait(max(rest, 0)):
+                with lane.lock:
+                    rest = lane.began + seconds - time.perf_counter()
+                    lane.left = rest <= 0 and len(lane.done) < len(lane.values)
+                if lane.left:
+                    name = getattr(fn, "__name__", fn)
+                    lane.done.append((None, f"CallTimeout: {name} took over {seconds} s", seconds - rest))
+                    break
+        if lane.fatal:
+            raise lane.fatal
+        out += lane.done
+    return tuple(map(list, zip(*out, strict=True))) or ([], [], [])
 
 
 def profiled() -> bool:

@@ -1,4 +1,6 @@
 import json
+import sys
+import threading
 import time
 
 import numpy as np
@@ -258,6 +260,21 @@ def test_python_functions_of_values(spark, monkeypatch):
         LambdaFilter("x", lambda v: 1 / v > 0, python=True).apply(df.filter("x is not null")).collect()
 
 
+def test_a_call_costs_no_thread_and_is_made_once(spark, tmp_path, monkeypatch):
+    """Threads grow with calls that are given up, not with calls; a filter on errors repeats none."""
+    begun, start = [], threading.Thread.start
+    monkeypatch.setattr(threading.Thread, "start", lambda self: (begun.append(1), start(self))[1])
+    values, problems, times = errors._called(slow, [0.0] * 500 + [9.0] + [0.01] * 3 + ["x"], 0.5)
+    assert values == [0] * 500 + [None] + [0] * 3 + [None] and len(begun) == 2 and times[500] >= 0.5 > max(times[:500])
+    assert problems[500].startswith("CallTimeout: slow took over 0.5 s") and problems[-1].startswith("TypeError") and not any(problems[:500])
+    assert errors._called(slow, [], 1.0) == ([], [], []) == errors._called(slow, [], None)
+    with pytest.raises(SystemExit):
+        errors._called(sys.exit, [3], 1.0)
+    with errors.on_error("skip"):
+        out = LambdaMapper("x", lambda v: int(v), returns="int", timeout=30.0).apply(spark.range(10).selectExpr("cast(id as string) x"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_broken_images_are_null_and_unknown_formats_an_error(spark):
     good = png(image(1, 4, 5))
     df = spark.createDataFrame([(1, {"png": good}), (2, {"png": good[:60]}), (3, {"png": b"P6 x"})], "id int, fields map<string,binary>")
