@@ -48,6 +48,21 @@ def test_means_have_the_sign_of_their_sql(spark, tmp_path):
     assert str(got["means"]) == str(want[2])
 
 
+def test_shards_stay_small(spark, duck, monkeypatch):
+    """More documents make more shards, not larger ones; what is read is the same."""
+    from pathlib import Path
+
+    from shardloom import queries
+
+    monkeypatch.setattr(queries, "SHARD_BYTES", 20_000, raising=False)
+    queries._shards.cache_clear()
+    sizes = [p.stat().st_size for p in Path(queries._shards(spark, DIR)).rglob("*.tar")]
+    assert len(sizes) > 16 and max(sizes) < 80_000 < sum(sizes)
+    for name in ("tar_members", "tar_dataset", "tar_sidecar", "loader_rows", "tar_key_and_class"):
+        test_query(spark, duck, name)
+    queries._shards.cache_clear()
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     """The driver may take the subpackage away; the rest goes on."""
     import os
