@@ -30,6 +30,8 @@ from shardloom.llm.base import cut, n_parts, prepare
 #: Vectors of a tree, about, unless there are MOST_TREES; vectors of a page; children of a node; queries that visit a tree in one task.
 TREE_ROWS, PAGE_ROWS, FAN, QUERY_ROWS = 4096, 128, 16, 4096
 MOST_TREES = 8192
+#: Queries that a task takes through a tree together at most.
+TOGETHER = 1024
 #: Rows, those of the lowest MD5 of their id, by which pivots are chosen and their shares of all rows are estimated.
 SAMPLE = 32_768
 
@@ -158,6 +160,66 @@ class Tree:
                     heapq.heappush(heap, (max(far - self.radius[child], 0), child, far))
         return [(-score, doc) for score, doc in found]
 
+    def search_all(self, own: np.ndarray, queries: np.ndarray, k: int, least: list[int | None]) -> list[list[tuple[int, int]]]:
+        """What :meth:`search` gives for each of many queries, which take their next pages at the same time.
+
+        Those that come to one page at once share its products, so a query costs few calls.
+        """
+        squares = (queries**2).sum(1)
+        if max(self.top, float(squares.max(initial=0.0))) >= 2.0**52:  # beyond doubles
+            return [self.search(int(doc), query, k, x) for doc, query, x in zip(own, queries, least, strict=True)]
+        slack = 1e-7 * (self.top + squares) ** 0.5 + 1e-6
+
+        def reach_of(scores: np.ndarray, which) -> np.ndarray:
+            return np.sqrt(np.maximum(squares[which] + self.top - 2.0 * scores, 0)) + slack[which]
+
+        reach = np.array([np.inf if x is None else float(x) for x in least])
+        known = np.isfinite(reach)
+        reach[known] = reach_of(reach[known], known)
+        far = np.sqrt(np.maximum(squares[:, None] + self.top - 2 * queries @ self.routing.T, 0))
+        bound = np.maximum(far - self.radius, 0)
+        for node, (a, b) in enumerate(self.children):  # parents come first
+            if not self.leaf[node]:
+                bound[:, a:b] = np.maximum(bound[:, a:b], bound[:, node : node + 1])
+        pages = np.flatnonzero(self.leaf)
+        turn = bound[:, pages].argsort(1, kind="stable")
+        best = np.full((len(queries), k), -np.inf)
+        ids = np.full((len(queries), k), np.iinfo(np.int64).max)
+        active = np.arange(len(queries))
+        for step in range(len(pages)):
+            page = pages[turn[active, step]]
+            on = bound[active, page] <= reach[active]
+            active, page = active[on], page[on]
+            if not len(active):
+                break
+            order = page.argsort(kind="stable")
+            for group in np.split(active[order], np.flatnonzero(np.diff(page[order])) + 1):
+                node = int(pages[turn[group[0], step]])
+                a, b = self.children[node]
+                ok = np.abs(far[group, node][:, None] - self.to_page[a:b]) <= reach[group][:, None]
+                rows = a + np.flatnonzero(ok.any(0))
+                if not len(rows):
+                    continue
+                self.computed += len(group) * len(rows)
+                scores = queries[group] @ self.exact[rows].T
+                scores[self.ids[rows] == own[group][:, None]] = -np.inf
+                better = scores >= best[group, -1:]
+                better &= scores > -np.inf
+                which, column = np.nonzero(better)
+                if not len(which):
+                    continue
+                some, place = np.unique(which, return_inverse=True)
+                group = group[some]
+                place = np.concatenate([np.repeat(np.arange(len(group)), k), place])
+                found = np.concatenate([best[group].ravel(), scores[which, column]])
+                names = np.concatenate([ids[group].ravel(), self.ids[rows[column]]])
+                at = np.lexsort((names, -found, place))
+                at = at[np.searchsorted(place[at], np.arange(len(group)))[:, None] + np.arange(k)]
+                best[group], ids[group] = found[at], names[at]
+                full = group[best[group, -1] > -np.inf]
+                reach[full] = np.minimum(reach[full], reach_of(best[full, -1], full))
+        return [[(int(x), int(i)) for x, i in zip(*row, strict=True) if x > -np.inf] for row in zip(best.tolist(), ids.tolist(), strict=True)]
+
     def _far(self, query: np.ndarray, square: float, nodes) -> np.ndarray:
         return np.sqrt(np.maximum(square + self.top - 2 * self.routing[nodes] @ query, 0))
 
@@ -250,20 +312,33 @@ def _search(k: int):
     """Rows sorted by tree and block of queries: the tree itself, then its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = None
-        for batch in batches:
+        tree, asked = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            queries = np.array([np.frombuffer(x, np.float64) for _, x, _ in asked])
             out: list[tuple] = []
-            for made, doc, vector, least in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if made is not None:
-                    tree = pickle.loads(made)
-                    continue
-                for score, other in tree.search(doc, np.frombuffer(vector, np.float64), k, least):
+            for (doc, _, _), best in zip(asked, tree.search_all(np.array([x for x, _, _ in asked], np.int64), queries, k, [x for _, _, x in asked]), strict=True):
+                for score, other in best:
                     if abs(score) >= 1 << 63:
                         raise OverflowError("a score doesn't fit in a long")
                     out.append((doc, other, score))
+            asked.clear()
             if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
+        for batch in batches:
+            for made, doc, vector, least in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if made is not None:
+                    if asked:
+                        yield from found()
+                    tree = pickle.loads(made)
+                    continue
+                asked.append((doc, vector, least))
+                if len(asked) == TOGETHER:
+                    yield from found()
+        if asked:
+            yield from found()
+
     return run
 
 
