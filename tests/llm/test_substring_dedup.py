@@ -279,3 +279,79 @@ def test_a_chain_that_is_not_alike_enough_is_cut(spark):
     got = substring_dedup.repeats(edge.frame(spark, rows)).collect()
     assert {r.doc_id for r in got} == {r[0] for r in rows}
     assert all(r.identity >= 0.8 and r.n_words >= 50 for r in got)
+
+
+def lined(n, own, seed, near=()):
+    """Rows (document, place, first word, words) around a seed in a line of 12 words that ends each document; those of ``near`` share their other words, but for a few."""
+    rng = np.random.default_rng(seed)
+    line = np.arange(1, 13, dtype=np.uint32)
+    shared = rng.integers(1 << 20, 1 << 31, own).astype(np.uint32)
+    rows = []
+    for i in range(n):
+        x = shared.copy() if i in near else rng.integers(1 << 20, 1 << 31, own).astype(np.uint32)
+        edits = rng.choice(own, 4 if i in near else own // 4, replace=False)
+        x[edits] = rng.integers(20, 60, len(edits))
+        rows.append((i, own, 0, np.concatenate((x, line)).tobytes()))
+    return rows
+
+
+def test_documents_that_share_a_line_alone_are_not_compared(monkeypatch):
+    """Pairs of those that ask and those that have the seed grow with the square of it; what is compared doesn't."""
+    compared = [0]
+    bitmaps = substring_dedup._bitmaps
+    monkeypatch.setattr(substring_dedup, "_bitmaps", lambda sides: (compared.__setitem__(0, compared[0] + len(sides[0])), bitmaps(sides))[1])
+    rows = lined(1500, 57, 5)
+    asked = substring_dedup._Asked(5, 50, 0.8)
+    asked.add(rows[:700])
+    assert [x for first in range(0, len(rows), 500) for x in asked.offer(rows[first : first + 500])] == []
+    assert compared[0] < 300
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_the_index_of_askers_loses_no_passage(seed):
+    rng = np.random.default_rng(seed)
+    near = set(rng.choice(400, 12, replace=False).tolist())
+    vocabulary = rng.integers(1, 1 << 31, 40).astype(np.uint32)  # few words, so many are shared by chance
+    rows = []
+    for i, place, start, found in lined(400, 57, seed, near):
+        x = np.frombuffer(found, np.uint32).copy()
+        few = rng.choice(57, 20, replace=False)
+        if i not in near:
+            x[few] = rng.choice(vocabulary, 20)
+        rows.append((i, place, start, x[: 57 + rng.integers(5, 13)].tobytes()))
+    asked = substring_dedup._Asked(5, 50, 0.8)
+    asked.add(rows[:250])
+    got = [x for first in range(0, len(rows), 100) for x in asked.offer(rows[first : first + 100])]
+    assert asked.indexed
+    mine, theirs = substring_dedup._sides(rows, 5, 45), substring_dedup._sides(rows, 5, 57)
+    fits = {i: {j for j in range(len(rows)) if j != i and substring_dedup._alike([x[i] for x in mine], [y[j] for y in theirs], 5, 50, 0.8)} for i in sorted(near)}
+    assert any(fits.values())
+    assert all(x[3] in fits[x[0]] for x in got)
+    assert {i for x in got for i in (x[0], x[3])} >= {i for i in fits if i < 250 and fits[i]}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 5), max_size=40), min_size=1, max_size=6), st.integers(1, 9))
+def test_minimizers_of_a_block_are_those_of_its_texts(texts, window):
+    k = 3
+    hashes = np.concatenate([np.array(x, np.uint64) for x in texts])
+    ends = np.cumsum([0, *map(len, texts)])
+    runs = substring_dedup.grams(hashes, k)
+    at, text = substring_dedup._placed(runs, ends, k, window)
+    want = [(i, ends[i] + p) for i, x in enumerate(texts) if len(x) >= k for p in substring_dedup.minimizers(runs[ends[i] : ends[i + 1] - k + 1], window)]
+    assert list(zip(text.tolist(), at.tolist(), strict=True)) == want
+
+
+def test_seeds_go_in_blocks_and_requests_in_batches():
+    """A row for each bucket of a batch, not for each seed; a batch for many requests, not one for each document."""
+    import pyarrow as pa
+
+    texts = [edge.prose(i % 300, 120) for i in range(600)]
+    given_ = pa.record_batch([pa.array(range(600), pa.int64()), pa.array(texts)], ["id", "text"])
+    sent = list(substring_dedup._seeds(5, 8, 64, 16)(iter([given_])))
+    assert sum(map(len, sent)) <= 32
+    met = pa.Table.from_batches(sent).sort_by("bucket").to_batches()
+    found = pa.Table.from_batches(list(substring_dedup._meet(16)(iter(met)))).sort_by("bucket").to_batches()
+    chained = list(substring_dedup._chain(5, 8, 50)(iter(found)))
+    assert len(chained) < 5
+    assert {tuple(sorted(x)) for b in chained for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)} == {(i, i + 300) for i in range(300)}
